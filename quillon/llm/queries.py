@@ -40,3 +40,36 @@ def op8_quality_classifier(spark, d):
     labels = table(spark, d, "labels").select("doc_id", "quality")
     model = train(docs.where(remainder(4) != 2).join(labels, "doc_id"))
     return score_quality(docs, model).withColumn("held_out", remainder(4) == 2).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op2_simhash(spark, d):
+    from quillon.llm.simhash import edit_likeness
+
+    return edit_likeness(table(spark, d, "documents"))
+
+
+@query
+def op10_warc(spark, d):
+    from quillon.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op10_warc"] = """
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS s FROM pages),
+coded AS (
+  SELECT page_id, strlen(html) AS payload_bytes,
+    list_reduce([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, 1 + 5 * (i // 4), 5))::int >> (15 - 5 * (i % 4))) & 31), 1) FOR i IN range(0, 32)], lambda a, b: a || b) AS payload_digest
+  FROM hashed),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM coded)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> page_id THEN f END AS refers_to
+FROM firsts
+"""
+
+
+@query
+def op4_packing(spark, d):
+    from quillon.llm.packing import pack
+
+    return pack(table(spark, d, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
