@@ -73,3 +73,45 @@ def op4_packing(spark, d):
     from quillon.llm.packing import pack
 
     return pack(table(spark, d, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op9_line_dedup(spark, d):
+    from quillon.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, d, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE["op9_line_dedup"] = """
+WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+spread AS (SELECT trim(raw) AS line FROM lines WHERE trim(raw) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+ranked AS (SELECT l.*, s.line IS NOT NULL AND row_number() OVER (PARTITION BY trim(raw) ORDER BY doc_id, pos) > 1 AS gone FROM lines l LEFT JOIN spread s ON trim(l.raw) = s.line)
+SELECT doc_id, count(*)::int AS n_lines, count(*) FILTER (gone)::int AS n_removed, sha256(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id
+"""
+
+
+@query
+def op3_decontamination(spark, d):
+    from quillon.llm.decontamination import contaminated
+
+    return contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+ORACLE["op3_decontamination"] = """
+WITH iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+grams AS (SELECT DISTINCT item_id, least(5, len(w)) AS n, unnest([array_to_string(w[i : i + least(5, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(5, len(w)) + 2)]) AS gram FROM iw WHERE len(w) > 0),
+sizes AS (SELECT item_id, count(*) AS size FROM grams GROUP BY 1),
+dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+lens AS (SELECT DISTINCT n FROM grams),
+own AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i : i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS gram FROM dw, lens)
+SELECT doc_id, item_id, count(DISTINCT gram) AS n_shared, count(DISTINCT gram) / any_value(size) AS containment
+FROM own JOIN grams USING (gram) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING count(DISTINCT gram) / any_value(size) >= 0.8
+"""
+
+
+@query
+def op5_secret_scan(spark, d):
+    from quillon.llm.secret_scan import digest, scan
+
+    return digest(scan(table(spark, d, "documents")))
