@@ -115,3 +115,10 @@ def op5_secret_scan(spark, d):
     from quillon.llm.secret_scan import digest, scan
 
     return digest(scan(table(spark, d, "documents")))
+
+
+@query
+def op1_jaccard_join(spark, d):
+    from quillon.llm.jaccard_join import similar_documents
+
+    return similar_documents(table(spark, d, "documents"))
