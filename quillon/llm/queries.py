@@ -122,3 +122,10 @@ def op1_jaccard_join(spark, d):
     from quillon.llm.jaccard_join import similar_documents
 
     return similar_documents(table(spark, d, "documents"))
+
+
+@query
+def op6_recurrent_lm(spark, d):
+    from quillon.llm.recurrent_lm import score_documents
+
+    return score_documents(table(spark, d, "documents"))
