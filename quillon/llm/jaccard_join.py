@@ -159,11 +159,11 @@ def _verify(threshold: float):
 
 def _buckets(classes: DataFrame) -> DataFrame:
     """path and id of the classes of each bucket to compare, and the bucket's size."""
-    leaf = F.explode(F.transform(F.sequence(F.lit(0), (F.size("leaves") / DEPTH).cast("int") - 1), lambda i: F.struct(*[F.get("leaves", i * DEPTH + k).alias(f"p{k}") for k in range(DEPTH)])))
-    paths = classes.where(F.size("leaves") > 0).select("id", leaf.alias("leaf")).select("id", "leaf.*")
-    final = None
+    leaf = F.sequence(F.lit(0), (F.size("leaves") / DEPTH).cast("int") - 1)
+    live, final = classes.where(F.size("leaves") > 0).select("id", "leaves"), None
     for level in range(DEPTH):
-        nodes = paths.where(F.col(f"p{level}") != 0).select(F.col(f"p{level}").alias("path"), "id").distinct()
+        own = F.transform(leaf, lambda i: F.get("leaves", i * DEPTH + level))  # noqa: B023
+        nodes = live.select(F.explode(F.array_distinct(F.filter(own, lambda p: p != 0))).alias("path"), "id")
         sized = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id") % (1 << 40)).alias("a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("b")).where("size > 1")
         sized = materialise(sized, "buckets")
         done = sized if level == DEPTH - 1 else sized.where(F.col("size") <= SMALL)
@@ -173,10 +173,13 @@ def _buckets(classes: DataFrame) -> DataFrame:
         final = members if final is None else final.unionByName(members)
         if level == DEPTH - 1:
             break
-        large = sized.where(F.col("size") > SMALL).select(F.col("path").alias("large"))
+        large = sized.where(F.col("size") > SMALL).select("path")
         if large.isEmpty():
             break
-        paths = paths.join(large, paths[f"p{level}"] == large["large"], "left_semi")
+        # a class goes on in one row, with the leaves below its large buckets; it has at most a few per run
+        hot = nodes.join(large, "path", "left_semi").groupBy("id").agg(F.collect_set("path").alias("hot"))
+        below = F.transform(F.filter(leaf, lambda i: F.array_contains("hot", F.get("leaves", i * DEPTH + level))), lambda i: F.slice("leaves", i * DEPTH + 1, F.lit(DEPTH)))
+        live = materialise(live.join(hot, "id").select("id", F.flatten(below).alias("leaves")), "live")
     return final
 
 
