@@ -24,7 +24,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier scores under 0.7 go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = train(docs, labels)
     return _without(docs, score_quality(docs, model).where("predicted = 0"))
 
 

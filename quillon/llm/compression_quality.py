@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_schema, record_batch, texts
+from quillon.llm.common import arrow_schema, materialise, record_batch, texts
 
 BLOCK, LEVEL, DICT_BYTES = 4096, 3, 112_640
 #: Labelled rows of either class that the dictionaries and the calibration each learn from, at most, and the characters of each that they see.
@@ -68,20 +68,35 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICT_BYTES:] or b"\0" * 8
 
 
-def train(labelled: DataFrame) -> Model:
-    """A model from the columns doc_id, text and quality (0 or 1; rows with another are ignored).
+def _chosen(labels: DataFrame, q: int, total: int) -> list[int]:
+    """Ids of about the 2 * SAMPLE_ROWS labelled ones of a class with the least hashes, in their order."""
+    key, most = F.xxhash64(F.lit("quality"), "doc_id"), 2 * SAMPLE_ROWS
+    # a cut that leaves a tenth more than are needed, so few rows come to the driver, however many tasks there are
+    cut = min((1 << 63) - 1, -(1 << 63) + (int(1.1 * most * (1 << 64)) // max(1, total)))
+    rows = labels.where(F.col("quality") == q).select("doc_id", key.alias("k")).where(F.col("k") <= cut).collect()
+    return [r.doc_id for r in sorted(rows, key=lambda r: (r.k, r.doc_id))[:most]]
 
-    Up to 2 * SAMPLE_ROWS rows of either class are drawn by a hash of doc_id, of each
-    SAMPLE_CHARS characters from a place that the hash sets; alternate ones feed the dictionaries
-    and the calibration. Without rows the score is 0.5 for every text.
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from docs (doc_id, text) and labels (doc_id, quality: 0 or 1; rows with another are ignored).
+
+    Up to 2 * SAMPLE_ROWS ids of either class are drawn by a hash of doc_id, of each text SAMPLE_CHARS
+    characters from a place that the hash sets; alternate ones feed the dictionaries and the
+    calibration. Repeated ids and labels count once, by the least of their texts; null ids have no
+    label. Without rows the score is 0.5 for every text. Only ids are shuffled, and the chosen texts.
     """
-    key = F.xxhash64(F.lit("quality"), "doc_id")
-    at = F.lit(1) + F.pmod(key, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
-    rows, counts = [], []
-    for q in (1, 0):
-        of = labelled.where(F.col("quality") == q)
-        counts.append(of.count())
-        rows += [(r.t or "", q) for r in of.select(F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("t"), key.alias("k")).orderBy("k").limit(2 * SAMPLE_ROWS).collect()]
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    pairs = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    pairs = materialise(pairs.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    total = {r.quality: r.n for r in pairs.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    counts = [total.get(q, 0) for q in (1, 0)]
+    chosen = [(i, q) for q in (1, 0) for i in _chosen(pairs, q, total.get(q, 0))]
+    wanted = spark.createDataFrame([(i,) for i in sorted({i for i, _ in chosen})], "doc_id long")
+    at = F.lit(1) + F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
+    pieces = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", F.coalesce(F.substring("text", at, F.lit(SAMPLE_CHARS)), F.lit("")).alias("t"))
+    text = {r.doc_id: r.t for r in pieces.groupBy("doc_id").agg(F.min("t").alias("t")).collect()}  # at most 4 * SAMPLE_ROWS pieces
+    rows = [(text.get(i, ""), q) for i, q in chosen]
     good, bad = ([t.encode() for t, q in rows[::2] if q == want] for want in (1, 0))
     model = Model(good, bad)
     rest = rows[1::2]

@@ -19,12 +19,14 @@ def test_edges(spark):
     rows = [(i, f"a fine sentence number {i} of words " * 3, 1, None, None) for i in range(30)] + [(100 + i, f"BUY!! {i} NOW!! " * 9, 0, None, None) for i in range(30)]
     rows += [(None, "x", 1, None, None), (500, None, 1, None, None), (501, "", 0, None, None), (502, "y", None, None, None), (503, "é" * 300_000, 1, None, None)]
     df = spark.createDataFrame(rows, ddl)
-    model = train(df)
+    model = train(df, df)
     out = {r.doc_id: r.score for r in score_quality(df, model).collect()}
     assert len(out) == len(rows) and all(0 <= s <= 1 for s in out.values())
     assert out[500] == out[501]
     assert score_quality(df.limit(0), model).count() == 0
-    untaught = train(df.where(F.lit(False)))
+    untaught = train(df, df.where(F.lit(False)))
     assert {r.score for r in score_quality(df, untaught).collect()} == {0.5}
-    one_class = train(df.where("quality = 1"))
+    one_class = train(df, df.where("quality = 1"))
     assert score_quality(df, one_class).count() == len(rows)
+    twice = train(df.union(df), df.union(df))
+    assert {r.doc_id: r.score for r in score_quality(df, twice).collect()} == out
