@@ -51,7 +51,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("packing", packing)]
-#: The classifier, the chosen paths and the packing can't be told in SQL; tests hold each stage against brute force.
+#: The classifier, the chosen paths and the packing can't be told in SQL; tests hold the stages' operators against brute force or held-out rows.
 ORACLE_SQL = None
 
 
