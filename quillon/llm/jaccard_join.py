@@ -9,12 +9,16 @@ probability 0.63, 0.47 or 0.37 if it is met at the first, second or third split;
 with 4e-11, 3e-7 or 1e-5, and a closer pair with far less.
 
 A bucket that is still large after DEPTH splits holds mostly classes alike; it is compared in
-pairs of blocks. Comparisons return a count per class and a star of edges, never the pairs: a pair
+pairs of blocks. A class goes on to the comparison of shingles only with another in its bucket whose
+tokens' low bytes agree with its own in `least_agreement` places; a pair at the threshold falls short
+of that with about 1e-11, wherever it meets. Comparisons return a count per class and a star of edges, never the pairs: a pair
 counts in the first bucket that holds it.
 """
 
 from __future__ import annotations
 
+from math import sqrt
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -59,7 +63,12 @@ def leaves(token: np.ndarray, runs: int = RUNS, threshold: float = THRESHOLD) ->
     return np.vstack([*out, paths])
 
 
-_SETS = "id long, n int, k1 long, k2 long, leaves array<long>"
+def least_agreement(threshold: float) -> int:
+    """Seven standard deviations below the number of tokens that agree at the threshold."""
+    return max(1, int(TOKENS * threshold - 7 * sqrt(TOKENS * threshold * (1 - threshold))))
+
+
+_SETS = "id long, n int, k1 long, k2 long, leaves array<long>, sketch binary"
 
 
 def _sketch(runs: int, threshold: float):
@@ -71,8 +80,9 @@ def _sketch(runs: int, threshold: float):
             for i, t in zip(ids, rows, strict=True):
                 s = shingle_hashes(t, SHINGLE)
                 d = xxhash.xxh3_128(s.tobytes()).digest()
-                flat = leaves(tokens(s), runs, threshold).astype(np.int64).ravel() if len(s) else []
-                out.append((i, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), flat))
+                token = tokens(s)
+                flat = leaves(token, runs, threshold).astype(np.int64).ravel() if len(s) else []
+                out.append((i, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), flat, token.astype(np.uint8).tobytes()))
             yield record_batch(schema, *map(list, zip(*out, strict=True)))
 
     return run
@@ -135,24 +145,58 @@ def _compare(path: int, rows: list[dict], threshold: float):
         yield int(ids[k]), int(n), int(ids[root[k]])
 
 
-def _verify(threshold: float):
-    schema = arrow_schema("id long, links long, root long")
+def _groups(batches):
+    """The rows of each bucket, or pair of its blocks, with two or more; they come one after the other."""
+    key, rows = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            at = (r["path"], r["i"], r["j"])
+            if at != key:
+                if len(rows) > 1:
+                    yield key, rows
+                key, rows = at, []
+            rows.append(r)
+    if len(rows) > 1:
+        yield key, rows
+
+
+def _batched(ddl: str, rows):
+    schema, part = arrow_schema(ddl), []
+    for r in rows:
+        part.append(r)
+        if len(part) == 4096:
+            yield record_batch(schema, *map(list, zip(*part, strict=True)))
+            part = []
+    if part:
+        yield record_batch(schema, *map(list, zip(*part, strict=True)))
+
+
+_ALIKE = "path long, i int, j int, id long, block int"
+
+
+def _partnered(least: int):
+    """Rows whose sketch agrees enough with another one of their group."""
+
+    def keep(rows: list[dict], crossed: bool):
+        sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), TOKENS)
+        block = np.array([r["block"] for r in rows])
+        for a in range(0, len(rows), 64):
+            agree = (sketch[a : a + 64, None, :] == sketch[None, :, :]).sum(axis=2) >= least
+            agree[np.arange(len(agree)), np.arange(a, a + len(agree))] = False
+            if crossed:
+                agree &= block[a : a + 64, None] != block[None, :]
+            yield from (rows[a + k] for k in np.flatnonzero(agree.any(axis=1)))
 
     def run(batches):
-        key, rows = None, []
+        found = (r for (_, i, j), rows in _groups(batches) for r in keep(rows, i != j))
+        yield from _batched(_ALIKE, ((r["path"], r["i"], r["j"], r["id"], r["block"]) for r in found))
 
-        def done():
-            found = list(_compare(key[0], rows, threshold)) if len(rows) > 1 else []
-            return [record_batch(schema, *map(list, zip(*found, strict=True)))] if found else []
+    return run
 
-        for b in batches:
-            for r in b.to_pylist():
-                at = (r["path"], r["i"], r["j"])
-                if at != key:
-                    yield from done()
-                    key, rows = at, []
-                rows.append(r)
-        yield from done()
+
+def _verify(threshold: float):
+    def run(batches):
+        yield from _batched("id long, links long, root long", (x for (path, _, _), rows in _groups(batches) for x in _compare(path, rows, threshold)))
 
     return run
 
@@ -196,20 +240,24 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, runs: int =
     sets = materialise(docs.mapInArrow(_sketch(runs, threshold), _SETS), "sets")
     classes = materialise(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     # a row of the class's least document has the paths that all of the class have
-    heads = sets.join(classes, ["k1", "k2"]).where(F.col("id") == F.col("rep")).select("id", "leaves").dropDuplicates(["id"])
-    members = materialise(_buckets(materialise(heads, "heads")), "members")
-    own = members.groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("own"))  # at most a few per run
-    n = own.count()
-    wanted = own.select(F.col("id").alias("w"))
-    wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
-    shingles = docs.join(wanted, docs.id == F.col("w"), "left_semi").mapInArrow(_hash_texts, "id long, shingles binary").dropDuplicates(["id"])
+    heads = sets.join(classes, ["k1", "k2"]).where(F.col("id") == F.col("rep")).select("id", "leaves", "sketch").dropDuplicates(["id"])
+    heads = materialise(heads, "heads")
+    members = _buckets(heads.select("id", "leaves"))
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("id", "path"), count).cast("int")
     blocked = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     keyed = blocked.select("path", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    by_group = lambda df: df.repartition(partitions(spark), "path", "i", "j").sortWithinPartitions("path", "i", "j")
+    met = by_group(keyed.join(heads.select("id", "sketch"), "id"))
+    alike = materialise(met.mapInArrow(_partnered(least_agreement(threshold)), _ALIKE), "alike")
+    own = alike.groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("own"))  # at most a few per run
+    n = own.count()
+    wanted = own.select(F.col("id").alias("w"))
+    wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
+    shingles = docs.join(wanted, docs.id == F.col("w"), "left_semi").mapInArrow(_hash_texts, "id long, shingles binary").dropDuplicates(["id"])
     copies = classes.select(F.col("rep").alias("id"), "copies")
-    rows = keyed.join(shingles.join(own, "id").join(copies, "id"), "id").select("path", "i", "j", "id", "block", "copies", "own", "shingles")
-    found = rows.repartition(partitions(spark), "path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_verify(threshold), "id long, links long, root long")
+    rows = alike.join(shingles.join(own, "id").join(copies, "id"), "id").select("path", "i", "j", "id", "block", "copies", "own", "shingles")
+    found = by_group(rows).mapInArrow(_verify(threshold), "id long, links long, root long")
     found = materialise(found, "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
     labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
@@ -220,5 +268,3 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, runs: int =
     label = F.when(F.col("any"), F.coalesce("label", "rep")).otherwise(F.col("id"))
     n_links = F.when(F.col("any"), F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0).cast("long"))
     return out.select(back(F.col("id")).alias("doc_id"), back(label).alias("class_id"), back(rep).alias("copy_id"), n_links.alias("n_links"))
-
-
