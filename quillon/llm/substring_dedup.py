@@ -2,7 +2,8 @@
 
 Each scan task hashes the windows of a stretch of documents, keeps the earliest of equal ones and
 deals the rest into hash buckets, a few bytes a window. A bucket's group finds the windows that
-also start earlier; their starts go back to their documents and merge into maximal intervals.
+also start earlier; their starts, dealt by document into a row for each range of document hashes,
+merge into maximal intervals.
 A hot passage reaches its bucket once for each stretch, whatever the number of its copies.
 
 A window is told by a 56-bit hash and its bucket, which comes of a second hash, so the number of
@@ -98,8 +99,11 @@ def _read(blob):
     return ids, starts, hashes.view(np.uint64).ravel()
 
 
-def _find(group: pa.Table) -> pa.Table:
-    """The windows of a bucket that start earlier too, by document."""
+_FOUND = "deal int, ids binary, runs binary, starts binary"
+
+
+def _find(group: pa.Table, buckets: int) -> pa.Table:
+    """The windows of a bucket that start earlier too, a row for all documents of a deal."""
     done, ids, starts, hashes = [], [], [], []
     for batch in group.to_batches():
         for blob in batch.to_pylist():
@@ -122,27 +126,34 @@ def _find(group: pa.Table) -> pa.Table:
             done.append((i[late], s[late]))
     i = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in done)])
     s = np.concatenate([np.zeros(0, np.int64), *(x for _, x in done)])
+    deal = (mix(i.view(U64), BASES[1]) % U64(buckets)).astype(np.int64)
+    order = np.lexsort((s, i, deal))
+    deal, i, s = deal[order], i[order], s[order].astype(np.uint32)
+    rows = []
+    for j in np.split(np.arange(len(i)), np.flatnonzero(np.diff(deal)) + 1):
+        if len(j):
+            ids, runs = np.unique(i[j], return_counts=True)
+            rows.append((int(deal[j[0]]), ids.tobytes(), runs.astype(np.uint32).tobytes(), s[j].tobytes()))
+    schema = arrow_schema(_FOUND)
+    return pa.Table.from_batches([record_batch(schema, *map(list, zip(*rows, strict=True)))] if rows else [], schema)
+
+
+def _merge(group: pa.Table, width: int) -> pa.Table:
+    """The maximal intervals of a deal's documents."""
+    ids, starts = [], []
+    for batch in group.to_batches():
+        for r in batch.to_pylist():
+            ids.append(np.repeat(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["runs"], np.uint32)))
+            starts.append(np.frombuffer(r["starts"], np.uint32))
+    i, s = np.concatenate(ids), np.concatenate(starts).astype(np.int64)
     order = np.lexsort((s, i))
-    i, s = i[order], s[order].astype(np.uint32)
-    at = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
-    ends = [*at[1:], len(i)]
-    return pa.table({"doc_id": pa.array([None if x == _NONE else int(x) for x in i[at]], pa.int64()), "starts": pa.array([s[a:b].tobytes() for a, b in zip(at, ends, strict=False)], pa.binary())})
-
-
-def _merger(width: int):
-    schema = arrow_schema("doc_id long, spans binary")
-
-    def merge(batches):
-        for b in batches:
-            spans = []
-            for parts in b.column("parts").to_pylist():
-                s = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in parts])).astype(np.int64)
-                new = np.concatenate([[True], s[1:] > s[:-1] + width])
-                at = np.flatnonzero(new)
-                spans.append(np.stack([s[at], s[np.concatenate([at[1:] - 1, [len(s) - 1]])] + width], axis=1).astype(np.uint32).tobytes())
-            yield record_batch(schema, b.column("doc_id"), spans)
-
-    return merge
+    i, s = i[order], s[order]
+    first = np.concatenate([[True], i[1:] != i[:-1]])
+    at = np.flatnonzero(first | np.concatenate([[True], s[1:] > s[:-1] + width]))
+    spans = np.stack([s[at], s[np.concatenate([at[1:], [len(s)]]) - 1] + width], axis=1).astype(np.uint32)
+    docs = np.flatnonzero(first[at])
+    out = [x.tobytes() for x in np.split(spans, docs[1:])]
+    return pa.table({"doc_id": pa.array([None if x == _NONE else int(x) for x in i[at[docs]]], pa.int64()), "spans": pa.array(out, pa.binary())})
 
 
 def removal_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -153,9 +164,16 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     in each. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    blobs = docs.mapInArrow(_dealer(width, partitions(docs.sparkSession)), _BLOB)
-    found = blobs.groupBy("bucket").applyInArrow(_find, "doc_id long, starts binary")
-    return found.groupBy("doc_id").agg(F.collect_list("starts").alias("parts")).mapInArrow(_merger(width), "doc_id long, spans binary")
+    buckets = partitions(docs.sparkSession)
+    blobs = docs.mapInArrow(_dealer(width, buckets), _BLOB)
+
+    def find(group: pa.Table) -> pa.Table:
+        return _find(group, buckets)
+
+    def merge(group: pa.Table) -> pa.Table:
+        return _merge(group, width)
+
+    return blobs.groupBy("bucket").applyInArrow(find, _FOUND).groupBy("deal").applyInArrow(merge, "doc_id long, spans binary")
 
 
 _KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
