@@ -72,3 +72,9 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7), (300, 300)]
     out = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {i: 0 for i in range(41)} | {100: 100, 150: 100, 200: 100}
+
+
+def test_components_of_a_long_chain(spark):
+    ids = random.Random(5).sample(range(10**9), 2000)
+    out = {r.node: r.label for r in components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()}
+    assert out == dict.fromkeys(ids, min(ids))
