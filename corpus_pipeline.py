@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import materialise
 from quillon.llm.compression_quality import score_quality, train
 from quillon.llm.decontamination import contaminated
-from quillon.llm.jaccard_join import similar_documents
+from quillon.llm.jaccard_join import distinct_documents
 from quillon.llm.line_dedup import dedup_lines
 from quillon.llm.packing import pack
 
@@ -37,8 +37,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays."""
-    return _without(docs, materialise(similar_documents(docs).where("doc_id <> class_id").select("doc_id"), "dropped"))
+    """Of each group of linked documents one row stays, that of the least non-null doc_id."""
+    return distinct_documents(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Chosen-path similarity join on word shingles.
 
-Documents with equal shingle sets form a class, which its least doc_id stands for. A class's set is
+Documents with equal shingle sets form a class with a number of its own; one of its rows stands for
+it. A row is told by 128 bits of its doc_id and text, so null and repeated ids don't mix texts. A class's set is
 embedded as TOKENS MinHash tokens. A run starts from a seed and follows those tokens whose hash
 with the path so far falls below 1 / (threshold * TOKENS): classes that share a token chosen so
 share its bucket. Buckets of up to SMALL classes are compared by brute force, larger ones are split
@@ -21,7 +22,7 @@ from math import sqrt
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import U64, arrow_schema, materialise, mix, partitions, record_batch, shingle_hashes, texts
@@ -32,7 +33,6 @@ TOKENS, RUNS, DEPTH = 128, 24, 3
 SMALL, BLOCK = 256, 1024
 #: Ids of classes that have a bucket with others are broadcast up to this number (8 bytes each).
 BROADCAST_IDS = 1_000_000
-_NONE = -(1 << 63)
 _rng = np.random.default_rng(20)
 _COORDINATES = _rng.integers(1, 1 << 63, TOKENS, dtype=np.int64).astype(U64) | U64(1)
 _SEEDS = _rng.integers(1, 1 << 63, 64, dtype=np.int64).astype(U64)
@@ -68,30 +68,33 @@ def least_agreement(threshold: float) -> int:
     return max(1, int(TOKENS * threshold - 7 * sqrt(TOKENS * threshold * (1 - threshold))))
 
 
-_SETS = "id long, n int, k1 long, k2 long, leaves array<long>, sketch binary"
+_SETS = "id long, r1 long, r2 long, n int, k1 long, k2 long, leaves array<long>, sketch binary"
 
 
 def _sketch(runs: int, threshold: float):
     schema = arrow_schema(_SETS)
 
     def run(batches):
-        for ids, rows in texts(batches, "id", "text"):
+        for *own, rows in texts(batches, "id", "r1", "r2", "text"):
             out = []
-            for i, t in zip(ids, rows, strict=True):
+            for i, r1, r2, t in zip(*own, rows, strict=True):
                 s = shingle_hashes(t, SHINGLE)
                 d = xxhash.xxh3_128(s.tobytes()).digest()
                 token = tokens(s)
                 flat = leaves(token, runs, threshold).astype(np.int64).ravel() if len(s) else []
-                out.append((i, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), flat, token.astype(np.uint8).tobytes()))
+                out.append((i, r1, r2, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), flat, token.astype(np.uint8).tobytes()))
             yield record_batch(schema, *map(list, zip(*out, strict=True)))
 
     return run
 
 
+_TEXTS = "r1 long, r2 long, shingles binary"
+
+
 def _hash_texts(batches):
-    schema = arrow_schema("id long, shingles binary")
-    for ids, rows in texts(batches, "id", "text"):
-        yield record_batch(schema, ids, [shingle_hashes(t, SHINGLE).tobytes() for t in rows])
+    schema = arrow_schema(_TEXTS)
+    for r1, r2, rows in texts(batches, "r1", "r2", "text"):
+        yield record_batch(schema, r1, r2, [shingle_hashes(t, SHINGLE).tobytes() for t in rows])
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -227,20 +230,22 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return final
 
 
-def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, class_id, copy_id and n_links.
+def _row_key() -> list[Column]:
+    """r1 and r2: a row's doc_id and text in 128 bits; nulls are told from values."""
+    own = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
+    return [F.xxhash64(F.lit(k), *own).alias(f"r{k}") for k in (1, 2)]
 
-    n_links: the other rows whose set of SHINGLE-word shingles has a Jaccard similarity of at least
-    threshold. copy_id: the least doc_id with the same set. class_id: the least doc_id that links
-    lead to. A text of fewer words is one shingle of all; a null, empty or blank one has no links
-    and is a class of its own. A null doc_id comes first; repeated rows are copies of each other.
-    """
+
+def _rows(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
+    """Per row of docs: id, r1 and r2, any (it has words) and, if so, of its class number, copies, least, with_null and links,
+    of its group first (least id, null if all are), group_null, and of the row that stays for the group s1 and s2."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce("doc_id", F.lit(_NONE)).alias("id"), "text")
+    docs = docs.select(F.col("doc_id").alias("id"), *_row_key(), "text")
     sets = materialise(docs.mapInArrow(_sketch(runs, threshold), _SETS), "sets")
-    classes = materialise(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max(F.col("id").isNull()).alias("with_null"), F.count(F.lit(1)).alias("copies"))
+    classes = materialise(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
     # a row of the class's least document has the paths that all of the class have
-    heads = sets.join(classes, ["k1", "k2"]).where(F.col("id") == F.col("rep")).select("id", "leaves", "sketch").dropDuplicates(["id"])
+    heads = sets.join(classes, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("least"))).select(F.col("number").alias("id"), "r1", "r2", "leaves", "sketch").dropDuplicates(["id"])
     heads = materialise(heads, "heads")
     members = _buckets(heads.select("id", "leaves"))
     count = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -251,20 +256,60 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, runs: int =
     met = by_group(keyed.join(heads.select("id", "sketch"), "id"))
     alike = materialise(met.mapInArrow(_partnered(least_agreement(threshold)), _ALIKE), "alike")
     own = alike.groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("own"))  # at most a few per run
+    own = materialise(own.join(heads.select("id", "r1", "r2"), "id"), "own")
     n = own.count()
-    wanted = own.select(F.col("id").alias("w"))
+    wanted = own.select(F.col("r1").alias("w"))
     wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
-    shingles = docs.join(wanted, docs.id == F.col("w"), "left_semi").mapInArrow(_hash_texts, "id long, shingles binary").dropDuplicates(["id"])
-    copies = classes.select(F.col("rep").alias("id"), "copies")
-    rows = alike.join(shingles.join(own, "id").join(copies, "id"), "id").select("path", "i", "j", "id", "block", "copies", "own", "shingles")
+    shingles = docs.join(wanted, docs.r1 == F.col("w"), "left_semi").select("r1", "r2", "text").mapInArrow(_hash_texts, _TEXTS).dropDuplicates(["r1", "r2"])
+    copies = classes.select(F.col("number").alias("id"), "copies")
+    rows = alike.join(shingles.join(own, ["r1", "r2"]).join(copies, "id"), "id").select("path", "i", "j", "id", "block", "copies", "own", "shingles")
     found = by_group(rows).mapInArrow(_verify(threshold), "id long, links long, root long")
     found = materialise(found, "links")
-    links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
-    labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    known = classes.join(links, "rep", "left").join(labels, "rep", "left")
-    out = sets.select("id", "k1", "k2", (F.col("n") > 0).alias("any")).join(known, ["k1", "k2"], "left")
-    back = lambda c: F.when(c != _NONE, c)
-    rep = F.when(F.col("any"), F.col("rep")).otherwise(F.col("id"))
-    label = F.when(F.col("any"), F.coalesce("label", "rep")).otherwise(F.col("id"))
+    links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "number")
+    labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "number")
+    known = classes.join(links, "number", "left").join(labels, "number", "left").withColumn("label", F.coalesce("label", "number"))
+    # only groups of more than one class need a look at their classes
+    lead = F.min(F.struct(F.col("least").isNull(), "least", "number"))
+    groups = classes.join(labels, "number").groupBy("label").agg(lead.alias("lead"), F.max("with_null").alias("group_null"))
+    known = known.join(groups, "label", "left").withColumns({
+        "first": F.when(F.col("lead").isNull(), F.col("least")).otherwise(F.col("lead")["least"]),
+        "group_null": F.coalesce("group_null", "with_null"),
+        "stays": F.coalesce(F.col("lead")["number"], F.col("number")),
+    })
+    heads = heads.select(F.col("id").alias("stays"), F.col("r1").alias("s1"), F.col("r2").alias("s2"))
+    known = known.join(heads, "stays").drop("lead", "stays", "label")
+    return sets.select("id", "r1", "r2", "k1", "k2", (F.col("n") > 0).alias("any")).join(known, ["k1", "k2"], "left").drop("k1", "k2")
+
+
+def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, class_id, copy_id and n_links.
+
+    n_links: the other rows whose set of SHINGLE-word shingles has a Jaccard similarity of at least
+    threshold. copy_id: the least doc_id with the same set. class_id: the least doc_id that links
+    lead to. A text of fewer words is one shingle of all; a null, empty or blank one has no links
+    and is a class of its own. A null doc_id comes first; repeated rows are copies of each other.
+    So class_id is null in each group that has a null id: distinct_documents goes by the groups themselves.
+    """
+    out = _rows(docs, threshold, runs)
+    rep = F.when(~F.col("any"), F.col("id")).when(~F.col("with_null"), F.col("least"))
+    label = F.when(~F.col("any"), F.col("id")).when(~F.col("group_null"), F.col("first"))
     n_links = F.when(F.col("any"), F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0).cast("long"))
-    return out.select(back(F.col("id")).alias("doc_id"), back(label).alias("class_id"), back(rep).alias("copy_id"), n_links.alias("n_links"))
+    return out.select(F.col("id").alias("doc_id"), label.alias("class_id"), rep.alias("copy_id"), n_links.alias("n_links"))
+
+
+def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
+    """docs with one row of each group of linked rows, that of the least non-null doc_id; texts without words stay.
+
+    Rows that share a doc_id are told by their texts; of rows with the same doc_id and text one stays.
+    """
+    rows = _rows(docs, threshold, runs).where(F.col("any") & ((F.col("copies") > 1) | (F.coalesce("links", F.lit(0)) > 0)))
+    stays = (F.col("r1") == F.col("s1")) & (F.col("r2") == F.col("s2"))
+    marks = rows.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays")).where("n > 1 or not stays").select("r1", "r2", "stays")
+    marks = materialise(marks, "marks").withColumnsRenamed({"r1": "__r1", "r2": "__r2", "stays": "__stays"})
+    keyed = docs.withColumns(dict(zip(("__k1", "__k2"), _row_key(), strict=True)))
+    same = (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2"))
+    once = keyed.join(marks, same, "left_anti").select(*docs.columns)
+    again = marks.where("__stays")
+    if again.isEmpty():
+        return once
+    return once.unionByName(keyed.join(again, same, "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import shingle_hashes
 from quillon.llm.components import components
-from quillon.llm.jaccard_join import similar_documents
+from quillon.llm.jaccard_join import distinct_documents, similar_documents
 
 
 def brute(rows, t=0.8):
@@ -78,3 +78,31 @@ def test_components_of_a_long_chain(spark):
     ids = random.Random(5).sample(range(10**9), 2000)
     out = {r.node: r.label for r in components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()}
     assert out == dict.fromkeys(ids, min(ids))
+
+
+def test_null_and_repeated_ids(spark):
+    rnd = random.Random(6)
+    words = [[f"g{g}w{rnd.randrange(10**6)}" for _ in range(120)] for g in range(6)]
+    near = lambda g, k: " ".join([*words[g][: 10 * k], f"n{k}", *words[g][10 * k + 1 :]])
+    rows = [(10, near(0, 0)), (None, near(0, 1)), (11, near(0, 2)), (12, near(0, 0))]  # one null id
+    rows += [(None, near(1, k)) for k in range(4)] + [(None, near(1, 0))] * 3  # null ids alone
+    rows += [(None, near(2, k)) for k in range(3)] + [(20, near(2, 5)), (21, near(2, 6))]  # several
+    rows += [(30, near(3, 0)), (31, near(3, 1)), (31, near(4, 0)), (40, near(4, 1))]  # 31 in two groups
+    rows += [(50, near(5, 0)), (50, near(5, 0)), (None, near(5, 3))]
+    rows += [(None, ""), (None, None), (60, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    low = lambda rows: sorted((-1 if i is None else i, t or "") for i, t in rows)
+    out = distinct_documents(df)
+    assert out.columns == df.columns
+    got = low((r.doc_id, r.text) for r in out.collect())
+    alone = [x for x in got if x[0] == -1 and x[1]]
+    assert len(alone) == 1 and alone[0][1] in {near(1, k) for k in range(4)}
+    assert low(x for x in got if x != alone[0]) == low([(10, near(0, 0)), (20, near(2, 5)), (30, near(3, 0)), (31, near(4, 0)), (50, near(5, 0)), (None, ""), (None, None), (60, " ")])
+
+    numbered = [(-(2**63) if i is None else i, t) for i, t in rows]
+    assert sorted(got_links(similar_documents(df))) == sorted((i, n) for i, _, n in brute(numbered))
+    assert distinct_documents(df.limit(0)).count() == 0
+
+
+def got_links(df):
+    return [(i, n) for i, _, n in got(df)]
