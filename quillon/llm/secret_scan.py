@@ -2,8 +2,9 @@
 
 A candidate string is a long run of key characters. A window slides over it; counts of the
 characters change by one in and one out, and with them the sum of n * log2(n) that gives the
-window's Shannon entropy. Hexadecimal and other runs have thresholds of their own. Candidates on
-the allow-list (words, numbers, identifiers without mixed characters) are suppressed.
+window's Shannon entropy. Windows of hexadecimal digits, candidates of letters and the rest have
+thresholds of their own. Candidates on the allow-list (letters in the form of words, numbers, UUIDs)
+are suppressed.
 """
 
 from __future__ import annotations
@@ -21,10 +22,16 @@ KINDS = ("assign", "access", "hex", "entropy")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-#: Least entropy in bits a character of a window, by class of the candidate.
-HEX_BITS, MIXED_BITS = 3.0, 3.6
+#: Least entropy in bits a character of a window: of hexadecimal digits in one case with a letter, in a candidate of letters and marks, else.
+HEX_BITS, LETTER_BITS, MIXED_BITS = 3.0, 3.4, 3.6
+_CONSONANT = "[BCDFGHJKLMNPQRSTVWXZbcdfghjklmnpqrstvwxz]"
+#: Letters, each with those that hardly follow it in words.
+_HARDLY = "bqxz cbfgjpvwx dqx fbcdghjkmnpqvwxz gjqvxz hjqvxz jbcdfghklmnpqrstvwxyz kjqvxz lx mxz pjqvxz qbcdfghjklmnoprstvwxyz sx tqx vbcdfghjklmnpqstwxz wjqvxz xbdgjklmnrsvwz yq zbcdfghjklmnpqrstvwx"
+_RARE = "|".join(f"{x[0]}[{x[1:]}]" for w in _HARDLY.split() for x in (w, w.upper()))
+#: Letters and marks in the form of words: no rare pairs, no run of five consonants or two of four, at most one word of a single letter in camel case.
+WORDS = rf"(?=[A-Za-z]+(?:[-_/+=]+[A-Za-z]*)*$)(?!.*?(?:{_RARE}))(?!.*?{_CONSONANT}{{5}})(?!.*?{_CONSONANT}{{4}}.*?{_CONSONANT}{{4}})(?!(?:.*?[a-z][A-Z](?:[A-Z]|[a-z][A-Z])){{2}}).*"
 #: Never secrets: words joined by marks, numbers, runs of one mark, UUIDs.
-ALLOWED = r"^([A-Za-z]+([-_/+=]+[A-Za-z]*)*|[0-9+/_=-]+|[+/_=-]*|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})$"
+ALLOWED = rf"^({WORDS}|[0-9+/_=-]+|[+/_=-]*|[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}})$"
 
 _SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
@@ -59,10 +66,12 @@ def _weight(n: Column) -> Column:
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
     """Struct of lo and hi: first character of the first and past the last of the windows whose entropy passes; -1 if none.
 
-    The class's threshold is chosen by the whole value.
+    Counts of the lowercase and uppercase hexadecimal characters and of the digits in a window choose
+    its threshold; a value of one kind alone has that kind's.
     """
-    least = F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(HEX_BITS)).otherwise(F.lit(MIXED_BITS))
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+    alone = F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(HEX_BITS)).when(~value.rlike("[0-9]"), F.lit(LETTER_BITS)).otherwise(F.lit(MIXED_BITS))
+    upper, lower, digit = (lambda c, a=ALPHABET.index(x), n=n: c.between(a + 1, a + n).cast("int") for x, n in (("A", 6), ("a", 6), ("0", 10)))
+    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), *[F.lit(0).alias(x) for x in ("upper", "lower", "digit")], F.lit(0.0).alias("s"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
     size = F.log2(F.lit(float(window)))
 
     def step(chars, state, at):
@@ -72,8 +81,11 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
         entering = F.element_at(state["n"], into) - (into == out).cast("int")
         s = state["s"] - F.when(out > 0, _weight(leaving) - _weight(leaving - 1)).otherwise(F.lit(0.0)) + _weight(entering + 1) - _weight(entering)
         n = F.transform(state["n"], lambda v, i: v + (i == into - 1).cast("int") - (i == out - 1).cast("int"))
-        passes = (at >= window) & (size - s / window >= least)
-        return F.struct(n.alias("n"), s.alias("s"), F.when(passes & (state["lo"] < 0), at - window).otherwise(state["lo"]).alias("lo"), F.when(passes, at).otherwise(state["hi"]).alias("hi"))
+        kinds = [state[x] + kind(into) - kind(out) for x, kind in (("upper", upper), ("lower", lower), ("digit", digit))]
+        a, b, d = kinds
+        hexes = (d < window) & ((a + d == window) | (b + d == window))
+        passes = (at >= window) & (size - s / window >= F.when(hexes, F.least(alone, F.lit(HEX_BITS))).otherwise(alone))
+        return F.struct(n.alias("n"), *[k.alias(x) for k, x in zip(kinds, ("upper", "lower", "digit"), strict=True)], s.alias("s"), F.when(passes & (state["lo"] < 0), at - window).otherwise(state["lo"]).alias("lo"), F.when(passes, at).otherwise(state["hi"]).alias("hi"))
 
     def slide(chars):
         return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, lambda state, at: step(chars, state, at), lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))

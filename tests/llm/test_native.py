@@ -102,3 +102,20 @@ def test_secrets_as_brute_force(spark):
     assert digest(scan(both.limit(0))).count() == 0
     e = spark.range(1).select(window_entropy(F.lit("aaaaaaaaaaaaaaaaaaaaaaaa")).alias("e")).first().e
     assert (e.lo, e.hi) == (-1, -1)
+
+
+def test_random_keys(spark):
+    import random
+    import string
+
+    rnd = random.Random(3)
+    key = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    low, up, letters = "0123456789abcdef", "0123456789ABCDEF", string.ascii_lowercase
+    kinds = {"id": lambda: "id=" + key(low, 20), "long": lambda: "id=" + key(low, 31), "upper": lambda: "KEY=" + key(up, 32), "after": lambda: key(low, 24) + "/v2-tail"}
+    kinds |= {"letters": lambda: key(letters, 32), "capitals": lambda: key(letters.upper(), 32), "both": lambda: key(string.ascii_letters, 24), "joined": lambda: f"{key(letters, 20)}-{key(letters, 20)}"}
+    never = ["hello-world-this-is-long-enough", "getUserAccountBalanceByName", "internationalization/of/documents", "1234567890-1234567890", "12345678901234567890", "123e4567-e89b-12d3-a456-426614174000", "INTERNATIONAL_STANDARD_BOOK"]
+    rows = [(k, f"see {f()} here") for k, f in kinds.items() for _ in range(200)] + [("never", x) for x in never]
+    out = scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    found = {k: sum(any(s.kind == 3 for s in r.spans) for r in out if r.doc_id == k) for k in [*kinds, "never"]}
+    print(found)
+    assert found.pop("never") == 0 and min(found.values()) >= 190, found
