@@ -12,7 +12,7 @@ from quillon.llm.common import materialise
 from quillon.llm.compression_quality import score_quality, train
 from quillon.llm.decontamination import contaminated
 from quillon.llm.jaccard_join import distinct_documents
-from quillon.llm.line_dedup import dedup_lines
+from quillon.llm.line_dedup import kept_lines
 from quillon.llm.packing import pack
 
 
@@ -30,10 +30,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from all but their first place; a document that had nothing else goes too."""
-    kept = dedup_lines(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("__kept")).dropDuplicates(["doc_id"])
-    out = docs.join(kept, "doc_id", "left").where(F.col("__kept").isNull() | (F.trim(F.regexp_replace("__kept", r"\s+", " ")) != ""))
-    text = F.coalesce("__kept", "text")
-    return out.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))).withColumn("text", text).select(*docs.columns)
+    rows, changed = kept_lines(docs), F.col("__n_removed") > 0
+    rows = rows.where(~changed | (F.trim(F.regexp_replace("__kept_text", r"\s+", " ")) != ""))
+    n_chars = F.when(changed, F.length("__kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return rows.withColumn("n_chars", n_chars).withColumn("text", F.when(changed, F.col("__kept_text")).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

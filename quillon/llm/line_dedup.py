@@ -34,6 +34,22 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sure.select("hash", "first").unionByName(exact.select("hash", "first"))
 
 
+def kept_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """All columns of docs, and __n_lines, __n_removed and __kept_text of each row: see dedup_lines."""
+    common = materialise(boilerplate(docs.select("doc_id", "source", "text"), min_sites), "boilerplate")
+    common = F.broadcast(common) if common.count() <= BROADCAST_LINES else common
+    place = F.struct("doc_id", "pos")
+    hit = _lines(docs.select("doc_id", "source", "text")).select("doc_id", "version", "pos", "hash").join(common, "hash").where(~place.eqNullSafe(F.col("first")))
+    gone = hit.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("__gone")).select(F.col("doc_id").alias("__id"), F.col("version").alias("__of"), "__gone")
+    own = docs.withColumn("__version", F.xxhash64("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = own.join(gone, own.doc_id.eqNullSafe(F.col("__id")) & (F.col("__version") == F.col("__of")), "left").withColumn("__lines", F.split(text, "\n"))
+    kept = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"), lambda i: F.get("__lines", i)))
+    rows = rows.withColumn("__kept", kept)
+    new = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join("__kept", "\n"))
+    return rows.select(*docs.columns, F.size("__lines").alias("__n_lines"), (F.size("__lines") - F.size("__kept")).alias("__n_removed"), new.alias("__kept_text"))
+
+
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Per row of docs (doc_id, source, text): doc_id, n_lines, n_removed and kept_text.
 
@@ -41,13 +57,5 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     min_sites distinct non-null sources have stays only at its first place. A null text has one
     blank line. Rows that share doc_id and text get the same result; other columns are ignored.
     """
-    docs = docs.select("doc_id", "source", "text")
-    common = materialise(boilerplate(docs, min_sites), "boilerplate")
-    common = F.broadcast(common) if common.count() <= BROADCAST_LINES else common
-    place = F.struct("doc_id", "pos")
-    hit = _lines(docs).select("doc_id", "version", "pos", "hash").join(common, "hash").where(~place.eqNullSafe(F.col("first")))
-    gone = hit.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "gone")
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("version"))
-    lines = own.join(gone, own.doc_id.eqNullSafe(F.col("__id")) & (own.version == F.col("__version")), "left").select("doc_id", "gone", F.split("text", "\n").alias("lines"), "text")
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i)))
-    return lines.withColumn("kept", kept).select("doc_id", F.size("lines").alias("n_lines"), (F.size("lines") - F.size("kept")).alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("kept_text"))
+    rows = kept_lines(docs.select("doc_id", "source", "text"), min_sites)
+    return rows.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("n_lines", "n_removed", "kept_text")])

@@ -122,3 +122,22 @@ def test_empty_tables(spark, tables, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_lines_of_null_and_repeated_ids(spark):
+    rows = [(i, f"own {i}\nShare this page", f"s{i}", 0) for i in range(12)]
+    rows += [(50, "one\nShare this page", "s1", 1), (50, "two\nShare this page", "s2", 2), (50, "three", "s3", 3)]
+    ddl = "doc_id long, text string, source string, n_chars long"
+    out = sorted(map(tuple, corpus_pipeline.lines(spark, spark.createDataFrame(rows, ddl), "").collect()))
+    want = [(0, "own 0\nShare this page", "s0", 0), *((i, f"own {i}", f"s{i}", len(f"own {i}")) for i in range(1, 12))]
+    assert out == sorted([*want, (50, "one", "s1", 3), (50, "two", "s2", 3), (50, "three", "s3", 3)])
+    nulls = [(None, f"null {i}\nShare this page", f"s{i}", 0) for i in range(12)]
+    out = corpus_pipeline.lines(spark, spark.createDataFrame([*nulls, (5, "five\nShare this page", "s", 0)], ddl), "").collect()
+    assert {r.text for r in out if r.doc_id == 5} == {"five"} and len(out) == 13
+
+
+def test_near_duplicates_of_null_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text, "en"), (7, text + " more", "en"), (8, text, "en"), (None, "alone", None)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted((r.doc_id or 0, r.text, r.lang or "") for r in out.collect()) == [(0, "alone", ""), (7, text + " more", "en")]
