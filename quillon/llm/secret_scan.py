@@ -29,10 +29,15 @@ _CONSONANT = "[BCDFGHJKLMNPQRSTVWXZbcdfghjklmnpqrstvwxz]"
 _HARDLY = "bqxz cbfgjpvwx dqx fbcdghjkmnpqvwxz gjqvxz hjqvxz jbcdfghklmnpqrstvwxyz kjqvxz lx mxz pjqvxz qbcdfghjklmnoprstvwxyz sx tqx vbcdfghjklmnpqstwxz wjqvxz xbdgjklmnrsvwz yq zbcdfghjklmnpqrstvwx"
 _RARE = "|".join(f"{x[0]}[{x[1:]}]" for w in _HARDLY.split() for x in (w, w.upper()))
 #: Letters and marks in the form of words: no rare pairs, no run of five consonants or two of four, at most one word of a single letter in camel case.
-WORDS = rf"(?=[A-Za-z]+(?:[-_/+=]+[A-Za-z]*)*$)(?!.*?(?:{_RARE}))(?!.*?{_CONSONANT}{{5}})(?!.*?{_CONSONANT}{{4}}.*?{_CONSONANT}{{4}})(?!(?:.*?[a-z][A-Z](?:[A-Z]|[a-z][A-Z])){{2}}).*"
+#: No group is repeated without bound: the JVM's matcher would recurse for each turn of it.
+WORDS = rf"(?=[A-Za-z][A-Za-z+/_=-]*+$)(?!.*?(?:{_RARE}))(?!.*?{_CONSONANT}{{5}})(?!.*?{_CONSONANT}{{4}}.*?{_CONSONANT}{{4}})(?!(?:.*?[a-z][A-Z](?:[A-Z]|[a-z][A-Z])){{2}}).*"
 #: Never secrets: words joined by marks, numbers, runs of one mark, UUIDs.
 ALLOWED = rf"^({WORDS}|[0-9+/_=-]+|[+/_=-]*|[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}})$"
 
+#: Elements of a fold that appends to an array.
+RUN = 64
+#: Counts of the window's characters, five bits each, twelve in a long.
+_BITS, _FIELDS = 5, 12
 _SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
@@ -40,19 +45,42 @@ def _none() -> Column:
     return F.array().cast(_SPAN)
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once: what stands in a lambda is else computed at each call."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _running(values: Column, fold) -> Column:
+    """The fold of each element with all before it, for an array of int and sum or greatest.
+
+    Folds of RUN elements at a time and of the runs' totals, as appending copies an array.
+    """
+
+    def along(xs, at):
+        return F.aggregate(xs, F.struct(at.alias("at"), F.array().cast("array<int>").alias("out")), lambda s, v: _bound(fold(s["at"], v), lambda x: F.struct(x.alias("at"), F.array_append(s["out"], x).alias("out"))), lambda s: s["out"])
+
+    def runs(xs):
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(RUN)), lambda i: F.slice(xs, i + 1, RUN))
+        return _bound(cut, totals)
+
+    def totals(cut):
+        each = F.transform(cut, lambda x: F.aggregate(x, F.lit(0), fold))
+        return _bound(along(each, F.lit(0)), lambda ends: F.flatten(F.transform(cut, lambda x, i: along(x, F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))))))
+
+    return _bound(values, runs)
+
+
 def _matches(text: Column, pattern: str, kind: int, group: int) -> Column:
     """Leftmost non-overlapping matches: start and end in code points, the kind and the group's text."""
     between = F.split(text, pattern, -1)
     whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     rows = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("b"), whole.alias("w"), value.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
 
-    def step(s, r):
-        at = s["at"] + F.length(r["b"])
-        end = at + F.length(r["w"])
-        return F.struct(end.alias("at"), F.array_append(s["out"], F.struct(at.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), r["v"].alias("value"))).alias("out"))
+    def spans(rows):
+        ends = _running(F.transform(rows, lambda r: F.length(r["b"]) + F.length(r["w"])), lambda a, b: a + b)
+        return F.zip_with(rows, ends, lambda r, end: F.struct((end - F.length(r["w"])).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), r["v"].alias("value")))
 
-    return F.aggregate(rows, start, step, lambda s: s["out"])
+    return _bound(rows, spans)
 
 
 def _found(text: Column, has: Column, pattern: str, kind: int, group: int = 0) -> Column:
@@ -71,27 +99,30 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
     """
     alone = F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(HEX_BITS)).when(~value.rlike("[0-9]"), F.lit(LETTER_BITS)).otherwise(F.lit(MIXED_BITS))
     upper, lower, digit = (lambda c, a=ALPHABET.index(x), n=n: c.between(a + 1, a + n).cast("int") for x, n in (("A", 6), ("a", 6), ("0", 10)))
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), *[F.lit(0).alias(x) for x in ("upper", "lower", "digit")], F.lit(0.0).alias("s"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // _FIELDS)).alias("n"), *[F.lit(0).alias(x) for x in ("upper", "lower", "digit")], F.lit(0.0).alias("s"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
     size = F.log2(F.lit(float(window)))
-
-    def step(chars, state, at):
-        into = F.instr(F.lit(ALPHABET), F.element_at(chars, at))
-        out = F.when(at > window, F.instr(F.lit(ALPHABET), F.element_at(chars, F.greatest(at - window, F.lit(1))))).otherwise(F.lit(0))
-        leaving = F.when(out > 0, F.element_at(state["n"], F.greatest(out, F.lit(1)))).otherwise(F.lit(0))
-        entering = F.element_at(state["n"], into) - (into == out).cast("int")
-        s = state["s"] - F.when(out > 0, _weight(leaving) - _weight(leaving - 1)).otherwise(F.lit(0.0)) + _weight(entering + 1) - _weight(entering)
-        n = F.transform(state["n"], lambda v, i: v + (i == into - 1).cast("int") - (i == out - 1).cast("int"))
+    word, shift = (lambda c: F.floor((c - 1) / _FIELDS).cast("int")), (lambda c: (c - 1) % _FIELDS * _BITS)
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), shift(c))
+    count = lambda n, c: F.call_function("shiftright", F.get(n, word(c)), shift(c)).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")
+
+    def step(codes, alone, state, at):
+        into, first = F.element_at(codes, at), at > window
+        out = F.when(first, F.element_at(codes, F.greatest(at - window, F.lit(1)))).otherwise(F.lit(0))
+        leaving = F.when(first, count(state["n"], F.greatest(out, F.lit(1)))).otherwise(F.lit(0))
+        entering = count(state["n"], into) - (into == out).cast("int")
+        s = state["s"] - F.when(first, _weight(leaving) - _weight(leaving - 1)).otherwise(F.lit(0.0)) + _weight(entering + 1) - _weight(entering)
+        n = F.transform(state["n"], lambda v, i: v + F.when(i == word(into), one(into)).otherwise(F.lit(0)) - F.when(first & (i == word(out)), one(F.greatest(out, F.lit(1)))).otherwise(F.lit(0)))
         kinds = [state[x] + kind(into) - kind(out) for x, kind in (("upper", upper), ("lower", lower), ("digit", digit))]
         a, b, d = kinds
         hexes = (d < window) & ((a + d == window) | (b + d == window))
         passes = (at >= window) & (size - s / window >= F.when(hexes, F.least(alone, F.lit(HEX_BITS))).otherwise(alone))
         return F.struct(n.alias("n"), *[k.alias(x) for k, x in zip(kinds, ("upper", "lower", "digit"), strict=True)], s.alias("s"), F.when(passes & (state["lo"] < 0), at - window).otherwise(state["lo"]).alias("lo"), F.when(passes, at).otherwise(state["hi"]).alias("hi"))
 
-    def slide(chars):
-        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, lambda state, at: step(chars, state, at), lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
+    def slide(v):
+        return F.aggregate(F.sequence(F.lit(1), F.size(v["codes"])), start, lambda state, at: step(v["codes"], v["alone"], state, at), lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
 
-    # a lambda variable holds the characters, else they would be split anew at every step
-    return F.element_at(F.transform(F.array(F.filter(F.split(value, ""), lambda c: c != "")), slide), 1)
+    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return _bound(F.struct(codes.alias("codes"), alone.alias("alone")), slide)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -111,9 +142,16 @@ def scan(docs: DataFrame) -> DataFrame:
 
     rated = F.transform("runs", lambda x: F.struct(x["start"].alias("at"), window_entropy(x["value"]).alias("e")))
     narrowed = F.transform(rated, lambda r: F.struct((r["at"] + r["e"]["lo"]).alias("start"), (r["at"] + r["e"]["hi"]).alias("end"), F.lit(3).alias("kind"), (r["e"]["lo"] >= 0).alias("passes")))
-    high = F.filter(narrowed, lambda e: e["passes"] & ~F.exists("base", lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
-    bare = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    spans = F.array_sort(F.concat(bare(F.col("base")), bare(high)))
+    # of spans by start, known ones first, one lies within a known one if those up to it reach its end
+    known = F.transform("base", lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("new"), x["kind"].alias("kind"), x["end"].alias("end")))
+    fresh = F.transform(F.filter(narrowed, lambda e: e["passes"]), lambda e: F.struct(e["start"].alias("start"), F.lit(1).alias("new"), e["kind"].alias("kind"), e["end"].alias("end")))
+
+    def told(spans):
+        reach = _running(F.transform(spans, lambda x: F.when(x["new"] == 0, x["end"]).otherwise(F.lit(0))), lambda a, b: F.greatest(a, b))
+        both = F.zip_with(spans, reach, lambda x, r: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), ((x["new"] == 0) | (r < x["end"])).alias("stays")))
+        return F.array_sort(F.filter(both, lambda x: x["stays"]))
+
+    spans = _bound(F.array_sort(F.concat(known, fresh)), told)
     return base.select("doc_id", F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))).alias("spans"))
 
 

@@ -1,3 +1,5 @@
+import bisect
+import hashlib
 import math
 import re
 
@@ -54,7 +56,10 @@ def entropy(window):
 
 
 def all_spans(text):
-    known, out = base(text), []
+    known, out, ends = base(text), [], []
+    starts = sorted(known)
+    for _, _, e in starts:
+        ends.append(max(e, ends[-1]) if ends else e)
     for m in re.finditer(CANDIDATE, text):
         v = m[0]
         if re.match(ALLOWED, v):
@@ -63,7 +68,8 @@ def all_spans(text):
         at = [i for i in range(len(v) - WINDOW + 1) if entropy(v[i : i + WINDOW]) >= least - 1e-12]
         if at:
             s, e = m.start() + at[0], m.start() + at[-1] + WINDOW
-            if not any(a <= s and e <= b for a, _, b in known):
+            before = bisect.bisect_right(starts, (s, 9, 0))
+            if not before or ends[before - 1] < e:
                 out.append((s, 3, e))
     return known, sorted(known + out)
 
@@ -92,8 +98,6 @@ def test_secrets_as_brute_force(spark):
     texts = {r.doc_id: r.text or "" for r in both.collect()}
     out = digest(scan(both)).collect()
     assert len(out) == len(texts)
-    import hashlib
-
     for r in out:
         known, every = all_spans(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(told(known).encode()).hexdigest(), r
@@ -104,6 +108,16 @@ def test_secrets_as_brute_force(spark):
     assert (e.lo, e.hi) == (-1, -1)
 
 
+def test_long_runs_and_many_matches(spark):
+    texts = ["a-" * 500_000, "-" * 1_000_000, "x" * 300_000, "aB3-" * 50_000, "".join(f"password=abcdefgh{i:05d} " for i in range(100_000)), "".join(f"token: Zx81kQ0pLm3vB6nT9rYw{i:05d} " for i in range(3000)) + "q7Zx81kQ0pLm3vB6nT9r"]
+    out = digest(scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    for r in out:
+        known, every = all_spans(texts[r.doc_id])
+        assert r.n_assign == sum(k == 0 for _, k, _ in known)
+        assert r.base_sha256 == hashlib.sha256(told(known).encode()).hexdigest() and r.spans == told(every), r.doc_id
+    assert {r.doc_id: r.n_assign for r in out}[4] == 100_000
+
+
 def test_random_keys(spark):
     import random
     import string
