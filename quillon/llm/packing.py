@@ -50,7 +50,7 @@ def _plain_byte_bpe(spec: dict) -> dict[bytes, int] | None:
 
 
 def encoder(path: str):
-    """A function from texts to lists of ids, the same ids as tokenizers gives without special tokens."""
+    """A function from texts to lists of ids, the same ids as tokenizers gives with add_special_tokens=False."""
     if path not in _encoders:
         import os
 
@@ -60,14 +60,14 @@ def encoder(path: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            ranks = _plain_byte_bpe(json.load(f))
+            spec = json.load(f)
+        ranks, added = _plain_byte_bpe(spec), re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or "(?!)")
         fast = ranks and tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(rows: list[str]) -> list[list[int]]:
-            # the fast encoder takes quadratic time in a run without a break
-            return [fast.encode_ordinary(t) if fast and not _LONG_RUN.search(t) else whole.encode(t, add_special_tokens=False).ids for t in rows]
+            # the fast encoder takes quadratic time in a run without a break, and it has no added tokens
+            return [fast.encode_ordinary(t) if fast and not _LONG_RUN.search(t) and not added.search(t) else whole.encode(t, add_special_tokens=False).ids for t in rows]
 
         _encoders[path] = encode
     return _encoders[path]

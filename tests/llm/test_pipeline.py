@@ -109,7 +109,6 @@ def test_stages_as_brute_force(spark, tables):
 
     packed = corpus_pipeline.run(spark, tables).toPandas()
     whole = Tokenizer.from_file(default_tokenizer())
-    whole.encode_special_tokens = True
     assert set(packed.doc_id) == set(got)
     for i, pieces in packed.groupby("doc_id"):
         n = len(whole.encode(got[i][0] or "", add_special_tokens=False).ids) + 1
