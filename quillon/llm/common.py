@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -20,11 +22,43 @@ def shared_dir(spark: SparkSession) -> str:
     return where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+_written: dict[str, SparkSession] = {}
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of our own in the shared one; it goes at the program's end, or before by discard."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clean)
+    _written[path] = spark
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lost executors cost nothing, lineage ends."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialised df that nothing reads any more."""
+    _delete(df._written_at)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean() -> None:
+    """Deletes all that new_path gave out; no DataFrame made of it works after that."""
+    for path in list(_written):
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _delete(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -86,9 +120,36 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema(out)
 
 
-def map_arrow(df: DataFrame, f, ddl: str) -> DataFrame:
-    """mapInArrow with small batches, so that a Python worker holds little at a time."""
-    return df.mapInArrow(f, ddl)
+def row_key() -> list[Column]:
+    """A row's doc_id and text in 128 bits, as two longs; nulls are told from values."""
+    own = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
+    return [F.xxhash64(F.lit(k), *own) for k in (1, 2)]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[tuple[tuple, list[dict]]]:
+    """The rows of each key, which come one after the other."""
+    at, rows = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            own = tuple(r[k] for k in key)
+            if own != at:
+                if rows:
+                    yield at, rows
+                at, rows = own, []
+            rows.append(r)
+    if rows:
+        yield at, rows
+
+
+def batched(ddl: str, rows) -> Iterator[pa.RecordBatch]:
+    schema, part = arrow_schema(ddl), []
+    for r in rows:
+        part.append(r)
+        if len(part) == 4096:
+            yield record_batch(schema, *map(list, zip(*part, strict=True)))
+            part = []
+    if part:
+        yield record_batch(schema, *map(list, zip(*part, strict=True)))
 
 
 def crc_mod(c, by: int):
