@@ -7,15 +7,17 @@ of the compressed sizes become a score by logistic regression on labelled rows.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_schema, materialise, record_batch, texts
+from quillon.llm.common import arrow_schema, discard, materialise, partitions, record_batch, texts
 
 BLOCK, LEVEL, DICT_BYTES = 4096, 3, 112_640
-#: Labelled rows of either class that the dictionaries and the calibration each learn from, at most, and the characters of each that they see.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 6000
+#: Labelled rows of either class that the dictionaries and the calibration each learn from, at most, and the characters of
+#: whole texts of a class that the dictionaries learn from (the driver holds them): rows that don't fit are not drawn for them.
+SAMPLE_ROWS, SAMPLE_CHARS = 1500, 16_000_000
 
 
 class Model:
@@ -38,9 +40,9 @@ class Model:
         n = max(1, len(data))
         return [(bad - good) / max(1, bad + good), (bad - good) / (n + 200), min(good, bad) / n]
 
-    def fit(self, rows: list[tuple[str, int]], steps: int = 60, ridge: float = 1e-3) -> None:
-        """Newton's method on the labelled rows."""
-        x = np.array([self.features(t) for t, _ in rows], dtype=float).reshape(-1, 3)
+    def fit(self, rows: list[tuple[list[float], int]], steps: int = 60, ridge: float = 1e-3) -> None:
+        """Newton's method on the features of whole labelled texts."""
+        x = np.array([f for f, _ in rows], dtype=float).reshape(-1, 3)
         y = np.array([q for _, q in rows], dtype=float)
         if not len(y):
             return
@@ -80,26 +82,37 @@ def _chosen(labels: DataFrame, q: int, total: int) -> list[int]:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, quality: 0 or 1; rows with another are ignored).
 
-    Up to 2 * SAMPLE_ROWS ids of either class are drawn by a hash of doc_id, of each text SAMPLE_CHARS
-    characters from a place that the hash sets; alternate ones feed the dictionaries and the
-    calibration. Repeated ids and labels count once, by the least of their texts; null ids have no
+    Up to 2 * SAMPLE_ROWS ids of either class are drawn by a hash of doc_id; alternate ones feed the
+    dictionaries and the calibration, with their whole texts. The calibration's features are computed
+    in tasks. Repeated ids and labels count once, by the least of their texts; null ids have no
     label. Without rows the score is 0.5 for every text. Only ids are shuffled, and the chosen texts.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     pairs = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     pairs = materialise(pairs.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
     total = {r.quality: r.n for r in pairs.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     counts = [total.get(q, 0) for q in (1, 0)]
     chosen = [(i, q) for q in (1, 0) for i in _chosen(pairs, q, total.get(q, 0))]
-    wanted = spark.createDataFrame([(i,) for i in sorted({i for i, _ in chosen})], "doc_id long")
-    at = F.lit(1) + F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
-    pieces = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", F.coalesce(F.substring("text", at, F.lit(SAMPLE_CHARS)), F.lit("")).alias("t"))
-    text = {r.doc_id: r.t for r in pieces.groupBy("doc_id").agg(F.min("t").alias("t")).collect()}  # at most 4 * SAMPLE_ROWS pieces
-    rows = [(text.get(i, ""), q) for i, q in chosen]
-    good, bad = ([t.encode() for t, q in rows[::2] if q == want] for want in (1, 0))
+    both, ddl = chosen[::2], "doc_id long"
+    least = docs.join(F.broadcast(spark.createDataFrame([(i,) for i in sorted({i for i, _ in chosen})], ddl)), "doc_id")
+    least = materialise(least.groupBy("doc_id").agg(F.min("text").alias("text")), "drawn")
+    size, fits = {r.doc_id: r.n for r in least.select("doc_id", F.length("text").alias("n")).collect()}, []
+    for want in (1, 0):
+        used = 0
+        for i, q in both:
+            if q == want and used + size[i] <= SAMPLE_CHARS:
+                used += size[i]
+                fits.append((i, q))
+    wanted = spark.createDataFrame([(i,) for i in sorted({i for i, _ in fits})], ddl)
+    text = {r.doc_id: r.text for r in least.join(F.broadcast(wanted), "doc_id").collect()}  # at most 2 * SAMPLE_CHARS characters
+    good, bad = ([text[i].encode() for i, q in fits if q == want] for want in (1, 0))
     model = Model(good, bad)
-    rest = rows[1::2]
+    rest = chosen[1::2]
+    wanted = spark.createDataFrame([(i,) for i in sorted({i for i, _ in rest})], ddl)
+    found = {r.doc_id: r.f for r in least.join(F.broadcast(wanted), "doc_id").repartition(partitions(spark)).mapInArrow(_features(model), "doc_id long, f array<double>").collect()}
+    discard(least)
+    rest = [(found[i], q) for i, q in rest]
     model.fit(rest)
     # the classes were drawn by number, not by share: put the shares back
     n = [sum(q == want for _, q in rest) for want in (1, 0)]
@@ -108,6 +121,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+def _features(model: Model):
+    schema = arrow_schema("doc_id long, f array<double>")
+
+    def run(batches):
+        for ids, rows in texts(batches, "doc_id", "text"):
+            yield record_batch(schema, ids, [model.features(t) for t in rows])
+
+    return run
+
+
 def score_quality(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """docs' doc_id with score (0 to 1) and predicted (1 if score >= threshold); a null text counts as empty."""
     ddl = "doc_id long, score double, predicted int"
@@ -119,3 +142,16 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
             yield record_batch(schema, ids, scores, [int(s >= threshold) for s in scores])
 
     return docs.select("doc_id", "text").mapInArrow(apply, ddl)
+
+
+def kept_by_quality(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all columns, whose own text scores at least threshold; a null text counts as empty."""
+
+    def keep(batches):
+        for b in batches:
+            for at, rows in texts(iter([b.select(["text"]).append_column("__at", pa.array(range(b.num_rows)))]), "__at", "text"):
+                kept = [i for i, t in zip(at, rows, strict=True) if model.score(t) >= threshold]
+                if kept:
+                    yield b.take(pa.array(kept))
+
+    return docs.mapInArrow(keep, docs.schema)
