@@ -140,3 +140,30 @@ def test_near_duplicates_of_null_ids(spark):
     rows = [(None, text, "en"), (7, text + " more", "en"), (8, text, "en"), (None, "alone", None)]
     out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
     assert sorted((r.doc_id or 0, r.text, r.lang or "") for r in out.collect()) == [(0, "alone", ""), (7, text + " more", "en")]
+
+
+def test_quality_and_decontamination_judge_rows(spark, tables):
+    """Rows that share an id, or have none, are judged by their own texts; other columns stay."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    item = spark.read.parquet(f"{tables}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(70, f"before {item} after", "leak"), (70, "a clean text of its own", "clean"), (None, f"so {item}", "leak"), (None, "another clean text", "clean"), (71, f"x {item}", "leak"), (71, f"x {item}", "leak"), (72, None, "clean"), (73, "", "clean"), (74, "same", "clean"), (74, "same", "clean")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row1 string").withColumns({"words": F.lit(1), "item_id": F.lit("x"), "part": F.lit(2.5)})
+    out = corpus_pipeline.decontaminate(spark, df, tables)
+    assert out.columns == df.columns
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, df.where("__row1 = 'clean'").collect()))
+
+    texts = [r.text for r in docs.limit(60).collect()]
+    rows = [(None if i % 3 == 0 else 80 + i // 4, t, i) for i, t in enumerate([*texts, *texts[:5], None, ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int").withColumn("predicted", F.lit("x"))
+    both = df.unionByName(docs.select("doc_id", "text", F.lit(-1).alias("score"), F.lit("").alias("predicted")))
+    out = corpus_pipeline.quality(spark, both, tables)
+    model = train(both, spark.read.parquet(f"{tables}/labels.parquet").select("doc_id", "quality"))
+    got = sorted(r.score for r in out.where("score >= 0").collect())
+    assert got == [i for _, t, i in rows if model.score(t) >= 0.7] and 0 < len(got) < len(rows)
+
+
+def test_packing_of_odd_rows(spark):
+    rows = [(None, "some text"), (1, None), (1, None), (2, "x"), (2, "x"), (2, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rank": F.lit(1), "start": F.lit("s")})
+    out = corpus_pipeline.packing(spark, df, "")
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in out.where("start = 0").collect()) == [(0, 3), (1, 1), (1, 1), (2, 2), (2, 2), (2, 2)]
