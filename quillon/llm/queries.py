@@ -44,9 +44,9 @@ def op8_quality_classifier(spark, d):
 
 @query
 def op2_simhash(spark, d):
-    from quillon.llm.simhash import edit_likeness
+    from quillon.llm.simhash import edits_and_neighbours
 
-    return edit_likeness(table(spark, d, "documents"))
+    return edits_and_neighbours(table(spark, d, "documents"))
 
 
 @query

@@ -1,4 +1,9 @@
-"""SimHash: hashed word shingles, weighted by 1 + ln(count), vote on the signed bits of a fingerprint."""
+"""SimHash: hashed word shingles, weighted by 1 + ln(count), vote on the signed bits of a fingerprint.
+
+Fingerprints within a Hamming radius are found by permuted block tables: each table keys the
+different fingerprints by some of their blocks, and those that share a key are compared in blocks of
+bounded size, so a key that very many share is spread over tasks. A pair counts in its first table.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +12,18 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, arrow_schema, hash_words, mix, partitions, record_batch
+from quillon.llm.common import U64, arrow_schema, batched, discard, grouped, hash_words, materialise, mix, partitions, record_batch
 
 BITS, SHINGLE = 256, 3
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _NONE = -(1 << 63)
+#: Within 7 of 256 bits a likeness is 0.996 or more; then one of 8 blocks of 32 bits is equal, and chance seldom shares one.
+RADIUS = 7
+#: Fingerprints of a key that meet in one task, and bytes of results and keys that are broadcast.
+BLOCK, BROADCAST_BYTES = 2048, 8 << 20
 
 
 def fingerprint(text: str | None) -> np.ndarray:
@@ -95,7 +104,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     heads = sorted(tuple(r) for r in docs.select("key").withColumn("pid", range_of("key")).groupBy("pid").agg(F.min("key")).collect())
     firsts = [(heads[i - 1][0], key) for i, (_, key) in enumerate(heads)]  # one row a range; the first closes the last
     close = spark.createDataFrame(firsts, "close int, first long")
-    sentinels = docs.join(F.broadcast(close), docs.key == close["first"]).groupBy("close", "key").agg(F.min("text").alias("text"))
+    sentinels = docs.join(F.broadcast(close), docs.key == close["first"]).groupBy("close", "key").agg(F.min(F.struct(F.col("text").isNotNull(), "text"))["text"].alias("text"))  # null comes first
     both = cut.select("pid", F.lit(False).alias("sentinel"), "key", "doc_id", "text").unionByName(sentinels.select(F.col("close").alias("pid"), F.lit(True).alias("sentinel"), "key", F.lit(None).cast("long").alias("doc_id"), "text"))
     return both.repartition(n, "pid").sortWithinPartitions("pid", "sentinel", "key", "text").drop("key").mapInArrow(_compare, _EDITS)
 
@@ -110,35 +119,78 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", hexed("text").alias("fingerprint"))
 
 
-def _distance(a: Column, b: Column) -> Column:
-    """Differing bits of two hex strings."""
-    parts = [F.conv(F.substring(a, i, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(b, i, 8), 16, 10).cast("long")) for i in range(1, BITS // 4, 8)]
-    total = F.bit_count(parts[0])
-    for p in parts[1:]:
-        total = total + F.bit_count(p)
-    return total
-
-
-def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """All pairs of different fingerprints within the Hamming radius, by permuted block tables.
-
-    The bits are cut into `blocks` blocks (radius + 1 by default; a divisor of BITS / 4 is best). Two
-    fingerprints within the radius agree on at least blocks - radius of them, so each choice of so
-    many blocks is a table keyed by them. Returns pairs (a, b, distance) of fingerprint classes,
-    each named by its least doc_id, and the membership (doc_id, class_id). Rows with a null
-    fingerprint have no class. Hot keys hold different fingerprints only and are left to AQE's skew join.
+def _neighbours(tables: list[tuple[int, ...]], cuts: list[int], radius: int):
+    """(fingerprint, other documents near it) of the fingerprints of a key, or of a pair of its blocks."""
+
+    def near(table, i, j, rows):
+        bits = np.frombuffer(b"".join(r["print"] for r in rows), np.uint8).reshape(len(rows), BITS // 8)
+        wide, block = bits.view(U64), np.array([r["block"] for r in rows])
+        copies = np.array([r["copies"] for r in rows], dtype=np.int64)
+        nibbles = np.stack([bits >> 4, bits & 15], axis=2).reshape(len(rows), -1)
+        for a in range(0, len(rows), 256):
+            part = slice(a, a + 256)
+            close = sum(np.bitwise_count(wide[part, None, k] ^ wide[None, :, k]).astype(np.int16) for k in range(BITS // 64)) <= radius
+            close[np.arange(len(close)), np.arange(a, a + len(close))] = False
+            if i != j:
+                close &= block[part, None] != block[None, :]
+            x, y = np.nonzero(close)
+            same = np.stack([(nibbles[a + x, c:d] == nibbles[y, c:d]).all(axis=1) for c, d in zip(cuts, cuts[1:], strict=False)]) if len(x) else np.zeros((len(cuts) - 1, 0), bool)
+            met = np.zeros(len(x), dtype=bool)
+            for earlier in tables[:table]:
+                met |= same[list(earlier)].all(axis=0)
+            n = np.bincount(x[~met], copies[y[~met]], len(close)).astype(np.int64)
+            yield from ((rows[a + k]["print"], int(n[k])) for k in np.flatnonzero(n))
+
+    def run(batches):
+        groups = grouped(batches, "table", "key", "i", "j")
+        yield from batched("print binary, near long", (x for (table, _, i, j), rows in groups if len(rows) > 1 for x in near(table, i, j, rows)))
+
+    return run
+
+
+def near_counts(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """fingerprint and n_near of those that have other documents within the radius.
+
+    prints has fingerprint (hex), a row for each document; n_near counts its other documents and all of
+    other fingerprints within the Hamming radius. The bits are cut into `blocks` blocks (radius + 1 by
+    default, each of whole hex digits). Two fingerprints within the radius agree on at least
+    blocks - radius of them, so each choice of so many blocks is a table keyed by them, and none is
+    missed. Rows with a null fingerprint count nowhere. Only counts leave the tasks, never pairs.
     """
     blocks = blocks or radius + 1
-    if blocks <= radius:
-        raise ValueError("more blocks than the radius are needed")
-    prints = prints.where(F.col("fingerprint").isNotNull()).select("doc_id", "fingerprint")
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
-    digits = BITS // 4
+    if not radius < blocks <= BITS // 4:
+        raise ValueError("more blocks than the radius are needed, of a hex digit each at least")
+    spark, digits = prints.sparkSession, BITS // 4
+    classes = prints.where(F.col("fingerprint").isNotNull()).groupBy(F.unhex("fingerprint").alias("print")).agg(F.count(F.lit(1)).alias("copies"))
+    classes = materialise(classes, "prints")
     cuts = [i * digits // blocks for i in range(blocks + 1)]
-    part = [F.substring("fingerprint", a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-    tables = [F.concat(F.lit(f"{t}:"), *[part[i] for i in chosen]) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-    keyed = classes.select("class_id", "fingerprint", F.explode(F.array(*tables)).alias("key"))
-    a, b = (keyed.select("key", F.col("class_id").alias(x), F.col("fingerprint").alias("f" + x)) for x in "ab")
-    pairs = a.join(b, "key").where(F.col("fa") < F.col("fb")).withColumn("distance", _distance(F.col("fa"), F.col("fb"))).where(F.col("distance") <= radius)
-    members = prints.join(classes, "fingerprint").select("doc_id", "class_id")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct(), members
+    tables = list(combinations(range(blocks), blocks - radius))
+    text = F.hex("print")
+    part = [F.substring(text, a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    keys = F.array(*[F.struct(F.lit(t).alias("table"), F.xxhash64(F.lit(t), *[part[i] for i in chosen]).alias("key")) for t, chosen in enumerate(tables)])
+    keyed = classes.select("print", "copies", F.explode(keys).alias("at")).select("at.*", "print", "copies")
+    shared = materialise(keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "keys")
+    few = shared.count() * 24 <= BROADCAST_BYTES
+    met = keyed.join(F.broadcast(shared) if few else shared, ["table", "key"])
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = met.withColumn("block", F.pmod(F.xxhash64("print", "key"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    own = own.select("table", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "print", "copies")
+    by = ["table", "key", "i", "j"]
+    found = own.repartition(partitions(spark), *by).sortWithinPartitions(*by).mapInArrow(_neighbours(tables, cuts, radius), "print binary, near long")
+    near = found.groupBy("print").agg(F.sum("near").alias("near"))
+    counts = classes.join(near, "print", "left").select("print", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_near")).where("n_near > 0")
+    counts = materialise(counts.select(F.lower(F.hex("print")).alias("fingerprint"), "n_near"), "near")
+    discard(classes)
+    discard(shared)
+    return counts
+
+
+def edits_and_neighbours(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """edit_likeness, with n_near: the other documents whose fingerprint is within the radius of the document's own.
+
+    Documents with equal fingerprints are near each other; those without words all have the same one.
+    """
+    told = materialise(edit_likeness(docs), "fingerprints")
+    near = near_counts(told.select("fingerprint"), radius)
+    near = F.broadcast(near) if near.count() * 80 <= BROADCAST_BYTES else near
+    return told.join(near, "fingerprint", "left").select(*told.columns, F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))
