@@ -2,6 +2,11 @@
 
 A payload that an earlier capture has already is written as a revisit record without a body. The
 archive files are plain WARC/1.1, records ended by two line ends, on any storage that Spark reaches.
+A file has at most FILE_BYTES, and more only if it is a single record.
+
+The index: each file's captures are a sorted run, kept in the shared folder. Ranges of about
+RANGE_ROWS captures, cut on a key that no two captures share, are dealt to tasks, and each merges its
+pieces of the runs by a loser tree. So a task holds one range, whatever the number of captures of a URL.
 """
 
 from __future__ import annotations
@@ -9,20 +14,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_schema, partitions, record_batch, shared_dir, texts
+from quillon.llm.common import arrow_schema, batched, materialise, new_path, partitions, record_batch
 
 _END = "\r\n\r\n"
-#: Records in one archive file, at most; a record's payload is one cell, so files stay small.
-RECORDS_PER_FILE = 2000
-#: Captures without a time of their own are dated this epoch second plus their page_id.
-EPOCH = 1_600_000_000
+#: Bytes of an archive file, but for a single record that is larger; it is one cell as it is written and read.
+FILE_BYTES = 16 << 20
+#: Captures of a range of the index, about.
+RANGE_ROWS = 50_000
+#: Captures without a time of their own are dated this epoch second plus their page_id, as far as years have four digits.
+EPOCH, LAST = 1_600_000_000, 253_402_300_799
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def digest(payload: bytes) -> str:
@@ -39,48 +47,74 @@ def url_key(url: str | None) -> str:
     return (",".join(reversed(host.split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")).lower()
 
 
-def _digests(batches):
-    schema = arrow_schema("page_id long, url string, html string, payload_digest string, payload_bytes long")
-    for ids, urls, pages in texts(batches, "page_id", "url", "html"):
-        data = [(p or "").encode("utf-8", "surrogatepass") for p in pages]
-        yield record_batch(schema, ids, urls, [p or "" for p in pages], [digest(x) for x in data], [len(x) for x in data])
+def _date(page_id: int | None) -> str:
+    return datetime.fromtimestamp(EPOCH + (page_id or 0) % (LAST - EPOCH), timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def _target(url: str | None) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", "%20", url or "")
+
+
+def _record_id(page_id: int | None, sha1: str, url: str | None) -> str:
+    own = f"{'' if page_id is None else page_id} {sha1} {url or ''}".encode("utf-8", "surrogatepass")
+    return f"<urn:md5:{hashlib.md5(own).hexdigest()}>"
+
+
+def _record(page_id, url, html, sha1, size, first_id, first_url) -> str:
+    """A record without its end; first_id: the response's page_id if this is a revisit."""
+    revisit = first_id is not None
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, sha1, url)}", f"WARC-Date: {_date(page_id)}", f"WARC-Target-URI: {_target(url)}"]
+    head += [f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}", f"X-Payload-Length: {size}"]
+    head += [] if page_id is None else [f"X-Page-ID: {page_id}"]
+    if revisit:
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(first_id, sha1, first_url)}", f"WARC-Refers-To-Target-URI: {_target(first_url)}", f"WARC-Refers-To-Date: {_date(first_id)}", f"X-Refers-To-Page-ID: {first_id}"]
+    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if revisit else size}"]
+    return "\r\n".join(head) + _END + ("" if revisit else html)
+
+
+_COLUMNS = ("page_id", "url", "html", "sha1", "payload_bytes", "first_id", "first_url")
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
+def _files(file_bytes: int):
+    """Whole archive files, a row each, but for the end of the last record."""
+    schema = arrow_schema("value string")
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for row in zip(*(b.column(c) for c in _COLUMNS), strict=True):
+                record = _record(*(x.as_py() for x in row))
+                own = len(record.encode("utf-8", "surrogatepass")) + len(_END)
+                if held and size + own > file_bytes:
+                    yield record_batch(schema, [_END.join(held)])
+                    held, size = [], 0
+                held.append(record)
+                size += own
+        if held:
+            yield record_batch(schema, [_END.join(held)])
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """One record per row of pages (page_id, url, html; null html is an empty payload) under path.
 
     Of equal payloads of at least min_bytes, the row with the smallest page_id (null last) is a
     response; rows with other ids are revisits of it. Repeated rows get a record each. Other
-    columns are ignored; an empty table makes an empty archive.
+    columns are ignored; an empty table makes an empty archive. Digests are taken in the JVM.
     """
-    found = pages.select("page_id", "url", "html").mapInArrow(_digests, "page_id long, url string, html string, payload_digest string, payload_bytes long")
-    light = found.select("page_id", "payload_digest", "payload_bytes")
-    first = light.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
+    html = F.coalesce("html", F.lit(""))
+    found = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("long").alias("payload_bytes"))
+    least = F.min(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url")))
+    first = found.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha1").agg(least.alias("first"), F.count(F.lit(1)).alias("n"))
+    # only payloads that occur twice need their first; a null id may repeat one that occurs once beside it
+    again = found.where(F.col("page_id").isNull()).select("sha1").distinct().withColumn("null_too", F.lit(True))
+    first = first.join(again, "sha1", "left").where("n > 1 or null_too").select("sha1", "first")
     # rows of a hot payload are many on one side only, which AQE splits
-    both = found.join(first, "payload_digest", "left")
-    refers = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    at = F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))
-    date = F.concat(F.date_format(F.timestamp_seconds(F.pmod(at, F.lit(253_402_300_799))), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
-    revisit = refers.isNotNull()
-    line = lambda name, value: F.concat(F.lit(f"\r\n{name}: "), value)
-    clean = F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x20\\x7f]", "%20")
-    h = F.md5(F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "payload_digest", F.coalesce("url", F.lit(""))))
-    record = F.concat(
-        F.lit("WARC/1.1"),
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:md5:"), h, F.lit(">"))),
-        line("WARC-Date", date),
-        line("WARC-Target-URI", clean),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
-        F.when(F.col("page_id").isNotNull(), line("X-Page-ID", F.col("page_id").cast("string"))).otherwise(F.lit("")),
-        line("X-Payload-Length", F.col("payload_bytes").cast("string")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("X-Refers-To-Page-ID", refers.cast("string")))).otherwise(F.lit("")),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
-        F.lit(_END),
-        F.when(revisit, F.lit("")).otherwise(F.col("html")),
-    )
-    both.select(record.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    both = found.join(first, "sha1", "left")
+    revisit = ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
+    rows = both.select("page_id", "url", "html", "sha1", "payload_bytes", F.when(revisit, F.col("first.page_id")).alias("first_id"), F.when(revisit, F.col("first.url")).alias("first_url"))
+    rows.mapInArrow(_files(file_bytes), "value string").write.option("lineSep", _END).option("maxRecordsPerFile", 1).text(path)
 
 
 def parse(data: bytes | memoryview) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -172,36 +206,30 @@ class LoserTree:
 
 def _merge(batches):
     """The runs' pieces of one key range, each in its order, merged."""
-    schema = arrow_schema(_CAPTURES)
     runs: dict[str, list] = {}
     for b in batches:
         for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
             runs.setdefault(r[8], []).append(r)
-    merged = LoserTree([iter(x) for x in runs.values()], _order)
-    part = []
-    for r in merged:
-        part.append(r)
-        if len(part) == 10_000:
-            yield record_batch(schema, *map(list, zip(*part, strict=True)))
-            part = []
-    if part:
-        yield record_batch(schema, *map(list, zip(*part, strict=True)))
-
-
-def capture_index(captures: DataFrame) -> DataFrame:
-    """Captures in global order of URL key, time and page_id, over partitions that follow on each other.
-
-    Ranges are cut on all three, so a URL with very many captures spans several. Each task merges
-    what the sorted runs hold of its range by a loser tree.
+    yield from batched(_CAPTURES, LoserTree([iter(x) for x in runs.values()], _order))
+
+
+def capture_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Captures in global order of URL key, time, page_id, file and place, over partitions that follow on each other.
+
+    Ranges are cut on all five, which no two captures share, so a URL or a page with very many
+    captures spans several; there are as many as the captures need. Each task merges what the
+    sorted runs hold of its range by a loser tree.
     """
-    n = partitions(captures.sparkSession)
-    return captures.repartitionByRange(n, "url_key", "timestamp", F.col("page_id").asc_nulls_last()).sortWithinPartitions("file", "url_key", "timestamp", F.col("page_id").asc_nulls_last(), "at").mapInArrow(_merge, _CAPTURES)
+    runs = materialise(captures, "runs")
+    n = max(partitions(captures.sparkSession), -(-runs.count() // range_rows))
+    page = F.col("page_id").asc_nulls_last()
+    return runs.repartitionByRange(n, "url_key", "timestamp", page, "file", "at").sortWithinPartitions("file", "url_key", "timestamp", page, "at").mapInArrow(_merge, _CAPTURES)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages written as archives in the shared folder and read back through the merged capture index."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write_archives(pages, path, min_bytes)
     return capture_index(read_archives(spark, path))
 

@@ -4,7 +4,7 @@ from oracle import check
 from pyspark.sql import functions as F
 
 from quillon.llm.queries import ORACLE, QUERIES
-from quillon.llm.warc import LoserTree, archive_round_trip, parse, write_archives
+from quillon.llm.warc import LoserTree, archive_round_trip, capture_index, parse, read_archives, write_archives
 
 
 def test_same_rows_as_sql(spark):
@@ -39,3 +39,29 @@ def test_edges(spark, tmp_path):
     write_archives(df, f"file://{tmp_path}/w")
     records = [h for p in (tmp_path / "w").glob("part-*") for _, _, h, _ in parse(p.read_bytes())]
     assert len(records) == len(rows) and all(h["warc-record-id"].startswith("<urn:") for h in records)
+
+
+def test_huge_ids_big_files_and_revisit_headers(spark, tmp_path):
+    rows = [(2**63 - 1, "http://a.org/", "same"), (-(2**63), "http://b.org/x y", "same"), (5, "http://c.org/", "é" * 3_000_000), (6, None, "z" * 5_000_000), *((100 + i, f"http://d.org/{i}", f"page {i}") for i in range(3000))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r for r in archive_round_trip(df).collect()}
+    assert len(out) == len(rows) and out[2**63 - 1].refers_to == -(2**63) and out[5].payload_bytes == 6_000_000
+    write_archives(df.coalesce(1), f"file://{tmp_path}/w", file_bytes=1 << 20)
+    files = [p.read_bytes() for p in (tmp_path / "w").glob("part-*")]
+    heads = [h for x in files for _, _, h, _ in parse(x)]
+    assert len(heads) == len(rows) and len(files) >= 4
+    assert sum(len(x) > 1 << 20 for x in files) == 2  # only single records are larger
+    (again,) = [h for h in heads if h["warc-type"] == "revisit"]
+    (first,) = [h for h in heads if h.get("x-page-id") == str(-(2**63))]
+    assert again["warc-refers-to"] == first["warc-record-id"] and again["warc-refers-to-date"] == first["warc-date"]
+    assert again["warc-refers-to-target-uri"] == first["warc-target-uri"] == "http://b.org/x%20y"
+
+
+def test_many_captures_of_a_url_span_ranges(spark, tmp_path):
+    df = spark.createDataFrame([(7, "http://a.org/", f"v{i}") for i in range(400)] + [(i, f"http://{i % 5}.org/", "x") for i in range(100)], "page_id long, url string, html string")
+    write_archives(df.repartition(6), f"file://{tmp_path}/w")
+    index = capture_index(read_archives(spark, f"file://{tmp_path}/w"), 40)
+    parts = index.rdd.glom().map(len).collect()
+    assert sum(parts) == 500 and max(parts) <= 120
+    keys = [(r.url_key, r.timestamp, r.page_id, r.file, r.at) for r in index.collect()]
+    assert keys == sorted(keys)
