@@ -68,3 +68,45 @@ def test_empty_and_repeated(spark):
     text = " ".join(map(str, range(30)))
     same = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in dedup_passages(same).collect()) == [(1, 0), (1, 0), (2, 30)]
+
+
+def test_clashing_hashes(spark, monkeypatch):
+    """Windows whose first hashes clash are told by the second, and many buckets give the same result."""
+    import quillon.llm.substring_dedup as d
+
+    real = d.mix
+    monkeypatch.setattr(d, "mix", lambda h, by: real(h, by) & d.U64(0xFFF) if by == d.BASES[0] else real(h, by))
+    rows = fixture(3)
+    lists = [([i for i, _ in rows[k::3]], [t for _, t in rows[k::3]]) for k in range(3)]
+    found = {}
+    monkeypatch.setattr(d, "texts", lambda batches, *a: iter(batches))
+    blobs = [r for part in lists for b in d._dealer(4, 5)(iter([part])) for r in b.to_pylist()]
+    for k in range(5):
+        own = [r for r in blobs if r["bucket"] == k]
+        if own:
+            for r in d._find(d.pa.Table.from_pylist(own, d.arrow_schema(d._BLOB)), 5).to_pylist():
+                ids = d.np.repeat(d.np.frombuffer(r["ids"], d.np.int64), d.np.frombuffer(r["runs"], d.np.uint32))
+                for i, s in zip(ids.tolist(), d.np.frombuffer(r["starts"], d.np.uint32).tolist(), strict=True):
+                    found.setdefault(i, set()).add(s)
+    want = {}
+    order = sorted((i if i is not None else -(2**63), t or "") for i, t in rows)
+    seen = {}
+    for i, t in order:
+        w = t.split()
+        for k in range(len(w) - 3):
+            seen.setdefault(tuple(w[k : k + 4]), []).append((i, k))
+    for places in seen.values():
+        low = min(places)
+        for i, k in places:
+            if (i, k) > low:
+                want.setdefault(i, set()).add(k)
+    assert found == want
+
+
+def test_buckets_follow_the_text(spark, monkeypatch):
+    import quillon.llm.substring_dedup as d
+
+    monkeypatch.setattr(d, "BUCKET_CHARS", 500)
+    rows = fixture(2)[:70]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(dedup_passages(df.repartition(5), keep_text=False)) == brute(rows, 20)
