@@ -9,8 +9,13 @@ again by the next tokens of their paths. Each of RUNS runs finds a pair at the t
 probability 0.63, 0.47 or 0.37 if it is met at the first, second or third split; 24 runs miss it
 with 4e-11, 3e-7 or 1e-5, and a closer pair with far less.
 
+The recall reached is estimated from the links themselves, the weakest ones: of those that one half
+of the runs finds, the share that the other half finds too. While the halves together miss more than
+1 - TARGET by that, RUNS / 2 more runs with new seeds follow; they count only what no run before met,
+and how much that is tells what is still missed.
+
 A bucket that is still large after DEPTH splits holds mostly classes alike; it is compared in
-pairs of blocks. A class goes on to the comparison of shingles only with another in its bucket whose
+pairs of blocks, bounded by the number of classes and of shingles. A class goes on to the comparison of shingles only with another in its bucket whose
 tokens' low bytes agree with its own in `least_agreement` places; a pair at the threshold falls short
 of that with about 1e-11, wherever it meets. Comparisons return a count per class and a star of edges, never the pairs: a pair
 counts in the first bucket that holds it.
@@ -22,20 +27,23 @@ from math import sqrt
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, arrow_schema, materialise, mix, partitions, record_batch, shingle_hashes, texts
+from quillon.llm.common import U64, arrow_schema, batched, discard, grouped, materialise, mix, partitions, record_batch, row_key, shingle_hashes, texts
 from quillon.llm.components import components
 
 THRESHOLD, SHINGLE = 0.8, 5
 TOKENS, RUNS, DEPTH = 128, 24, 3
 SMALL, BLOCK = 256, 1024
-#: Ids of classes that have a bucket with others are broadcast up to this number (8 bytes each).
+#: Shingles of the classes that meet in one task, about, beyond which a bucket is cut into more blocks.
+BLOCK_SHINGLES = 2_000_000
+#: Share of the links that are to be found, judged by the weakest ones, up to so much above the threshold.
+TARGET, WEAK = 0.9999, 0.05
+#: Ids of classes that have a bucket with others, and paths of large buckets, are broadcast up to this number (8 bytes each).
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20)
 _COORDINATES = _rng.integers(1, 1 << 63, TOKENS, dtype=np.int64).astype(U64) | U64(1)
-_SEEDS = _rng.integers(1, 1 << 63, 64, dtype=np.int64).astype(U64)
 
 
 def tokens(shingles: np.ndarray) -> np.ndarray:
@@ -47,18 +55,25 @@ def tokens(shingles: np.ndarray) -> np.ndarray:
     return mix(low ^ _COORDINATES, 0xA0761D6478BD642F)
 
 
-def leaves(token: np.ndarray, runs: int = RUNS, threshold: float = THRESHOLD) -> np.ndarray:
-    """Rows of DEPTH path hashes, one per path; 0 from where it has ended."""
+def seeds(turn: int, runs: int) -> np.ndarray:
+    """The runs' seeds of a turn; their first halves are even, the second odd, and so are all paths below them."""
+    own = np.random.default_rng([20, turn]).integers(1, 1 << 62, runs, dtype=np.int64).astype(U64) << U64(1)
+    own[runs // 2 :] |= U64(1)
+    return own
+
+
+def leaves(token: np.ndarray, seed: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Rows of DEPTH path hashes, one per path; 0 from where it has ended. A path's last bit is its run's half."""
     bound = U64(int((1 << 64) / (threshold * TOKENS)))
-    paths = _SEEDS[:runs].reshape(-1, 1)[:, :0]
-    last, out = _SEEDS[:runs], []
+    paths = seed.reshape(-1, 1)[:, :0]
+    last, out = seed, []
     for level in range(DEPTH):
         chosen = mix(last[:, None] ^ token[None, :], 0xE7037ED1A0B428DB + 2 * level) < bound
         at, which = np.nonzero(chosen)
         ended = np.flatnonzero(~chosen.any(axis=1))
         if level and len(ended):
             out.append(np.hstack([paths[ended], np.zeros((len(ended), DEPTH - level), U64)]))
-        last = mix(last[at] + token[which], 0x8EBC6AF09C88C6E3)
+        last = mix(last[at] + token[which], 0x8EBC6AF09C88C6E3) & ~U64(1) | (last[at] & U64(1))
         paths = np.hstack([paths[at], last[:, None]])
     return np.vstack([*out, paths])
 
@@ -68,22 +83,50 @@ def least_agreement(threshold: float) -> int:
     return max(1, int(TOKENS * threshold - 7 * sqrt(TOKENS * threshold * (1 - threshold))))
 
 
-_SETS = "id long, r1 long, r2 long, n int, k1 long, k2 long, leaves array<long>, sketch binary"
+_SETS = "id long, r1 long, r2 long, n int, k1 long, k2 long, tokens binary, sketch binary"
 
 
-def _sketch(runs: int, threshold: float):
+def _sketch(batches):
     schema = arrow_schema(_SETS)
+    for *own, rows in texts(batches, "id", "r1", "r2", "text"):
+        out = []
+        for i, r1, r2, t in zip(*own, rows, strict=True):
+            s = shingle_hashes(t, SHINGLE)
+            d = xxhash.xxh3_128(s.tobytes()).digest()
+            # 32 bits a token do: those that clash by chance only share buckets
+            token = tokens(s).astype(np.uint32) if len(s) else np.zeros(0, np.uint32)
+            out.append((i, r1, r2, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), token.tobytes(), token.astype(np.uint8).tobytes()))
+        yield record_batch(schema, *map(list, zip(*out, strict=True)))
+
+
+def _paths(seed: np.ndarray, threshold: float):
+    """id, number of shingles and leaves of each class."""
+
+    def run(batches):
+        for b in batches:
+            ids, n, token = (b.column(c).to_pylist() for c in ("id", "n", "tokens"))
+            yield record_batch(arrow_schema(_LEAVES), ids, n, [leaves(np.frombuffer(t, np.uint32).astype(U64), seed, threshold).astype(np.int64).ravel() for t in token])
+
+    return run
+
+
+_LEAVES = "id long, n int, leaves array<long>"
+
+
+def _below(large: np.ndarray, level: int):
+    """Of each class the leaves below its large buckets of a level, if it has any; large is sorted."""
 
     def run(batches):
-        for *own, rows in texts(batches, "id", "r1", "r2", "text"):
-            out = []
-            for i, r1, r2, t in zip(*own, rows, strict=True):
-                s = shingle_hashes(t, SHINGLE)
-                d = xxhash.xxh3_128(s.tobytes()).digest()
-                token = tokens(s)
-                flat = leaves(token, runs, threshold).astype(np.int64).ravel() if len(s) else []
-                out.append((i, r1, r2, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), flat, token.astype(np.uint8).tobytes()))
-            yield record_batch(schema, *map(list, zip(*out, strict=True)))
+        for b in batches:
+            rows = []
+            for i, n, flat in zip(*(b.column(c).to_pylist() for c in ("id", "n", "leaves")), strict=True):
+                own = np.array(flat, dtype=np.int64).reshape(-1, DEPTH)
+                at = np.minimum(np.searchsorted(large, own[:, level]), len(large) - 1)
+                own = own[large[at] == own[:, level]]
+                if len(own):
+                    rows.append((i, n, own.ravel()))
+            if rows:
+                yield record_batch(arrow_schema(_LEAVES), *map(list, zip(*rows, strict=True)))
 
     return run
 
@@ -118,8 +161,19 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _roots(alike: np.ndarray) -> np.ndarray:
+    """The least place that links lead to from each."""
+    root = np.arange(len(alike))
+    while True:
+        low = np.minimum(root, np.where(alike, root[None, :], len(alike)).min(axis=1))
+        if (low == root).all():
+            return root
+        root = low
+
+
 def _compare(path: int, rows: list[dict], threshold: float):
-    """(id, number of linked documents, root) of the classes of one bucket, or of a pair of its blocks, that have links."""
+    """Of the classes of one bucket, or of a pair of its blocks, that have links: id, number of linked
+    documents, root, and of the weak links those that runs of the first half, of the second and of both have met."""
     sets = [np.frombuffer(r["shingles"], U64) for r in rows]
     size = np.array([len(s) for s in sets], dtype=np.float32)
     both = _shared(sets)
@@ -132,46 +186,20 @@ def _compare(path: int, rows: list[dict], threshold: float):
     if not len(linked):
         return
     ids = np.array([r["id"] for r in rows], dtype=np.int64)
-    root = np.arange(len(rows))
-    while True:  # least labels within the bucket
-        low = np.minimum(root, np.where(alike, root[None, :], len(rows)).min(axis=1))
-        if (low == root).all():
-            break
-        root = low
-    earlier = [np.array([p for p in rows[k]["own"] if p < path], dtype=np.int64) for k in linked]
-    known, inverse = np.unique(np.concatenate(earlier), return_inverse=True)
+    root = _roots(alike)
+    alike = alike[np.ix_(linked, linked)]
+    own = [np.array(rows[k]["own"], dtype=np.int64) for k in linked]
+    known, inverse = np.unique(np.concatenate(own), return_inverse=True)
     met = np.zeros((len(linked), len(known)), dtype=np.float32)
-    met[np.repeat(np.arange(len(linked)), [len(e) for e in earlier]), inverse] = 1
-    new = alike[np.ix_(linked, linked)] & ~((met @ met.T) > 0)
+    met[np.repeat(np.arange(len(linked)), [len(e) for e in own]), inverse] = 1
+    together = lambda which: (met[:, which] @ met[:, which].T) > 0
+    new = alike & ~together(known < path)
     links = new @ np.array([rows[k]["copies"] for k in linked], dtype=np.int64)
-    for k, n in zip(linked, links, strict=True):
-        yield int(ids[k]), int(n), int(ids[root[k]])
-
-
-def _groups(batches):
-    """The rows of each bucket, or pair of its blocks, with two or more; they come one after the other."""
-    key, rows = None, []
-    for b in batches:
-        for r in b.to_pylist():
-            at = (r["path"], r["i"], r["j"])
-            if at != key:
-                if len(rows) > 1:
-                    yield key, rows
-                key, rows = at, []
-            rows.append(r)
-    if len(rows) > 1:
-        yield key, rows
-
-
-def _batched(ddl: str, rows):
-    schema, part = arrow_schema(ddl), []
-    for r in rows:
-        part.append(r)
-        if len(part) == 4096:
-            yield record_batch(schema, *map(list, zip(*part, strict=True)))
-            part = []
-    if part:
-        yield record_batch(schema, *map(list, zip(*part, strict=True)))
+    weak = new & (both < (threshold + WEAK) * (size[:, None] + size[None, :] - both))[np.ix_(linked, linked)]
+    half = [weak & together(known & 3 != 2 - k) for k in (0, 1)]  # the last two bits: 1 and 2 for the halves, 3 for both
+    told = [h.sum(axis=1) for h in (*half, half[0] & half[1])]
+    for k, n, *seen in zip(linked, links, *told, strict=True):
+        yield int(ids[k]), int(n), int(ids[root[k]]), *map(int, seen)
 
 
 _ALIKE = "path long, i int, j int, id long, block int"
@@ -191,80 +219,110 @@ def _partnered(least: int):
             yield from (rows[a + k] for k in np.flatnonzero(agree.any(axis=1)))
 
     def run(batches):
-        found = (r for (_, i, j), rows in _groups(batches) for r in keep(rows, i != j))
-        yield from _batched(_ALIKE, ((r["path"], r["i"], r["j"], r["id"], r["block"]) for r in found))
+        found = (r for (_, i, j), rows in grouped(batches, "path", "i", "j") if len(rows) > 1 for r in keep(rows, i != j))
+        yield from batched(_ALIKE, ((r["path"], r["i"], r["j"], r["id"], r["block"]) for r in found))
 
     return run
 
 
+_FOUND = "id long, links long, root long, first long, second long, both long"
+
+
 def _verify(threshold: float):
     def run(batches):
-        yield from _batched("id long, links long, root long", (x for (path, _, _), rows in _groups(batches) for x in _compare(path, rows, threshold)))
+        yield from batched(_FOUND, (x for (path, _, _), rows in grouped(batches, "path", "i", "j") if len(rows) > 1 for x in _compare(path, rows, threshold)))
 
     return run
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """path and id of the classes of each bucket to compare, and the bucket's size."""
+def _buckets(heads: DataFrame, turn: int, runs: int, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """path and id of the classes of each bucket to compare, the bucket's size and its number of blocks, and the tables that they are read from.
+
+    A path is the turn, bits of the bucket's hash, and two that tell which halves of the runs have it.
+    """
+    read = [materialise(heads.select("id", "n", "tokens").mapInArrow(_paths(seeds(turn, runs), threshold), _LEAVES), "leaves")]
     leaf = F.sequence(F.lit(0), (F.size("leaves") / DEPTH).cast("int") - 1)
-    live, final = classes.where(F.size("leaves") > 0).select("id", "leaves"), None
+    live, final = read[0].where(F.size("leaves") > 0), None
     for level in range(DEPTH):
         own = F.transform(leaf, lambda i: F.get("leaves", i * DEPTH + level))  # noqa: B023
-        nodes = live.select(F.explode(F.array_distinct(F.filter(own, lambda p: p != 0))).alias("path"), "id")
-        sized = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id") % (1 << 40)).alias("a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("b")).where("size > 1")
+        nodes = live.select(F.explode(F.array_distinct(F.filter(own, lambda p: p != 0))).alias("path"), "id", "n")
+        sized = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id") % (1 << 40)).alias("a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("b"), F.sum(F.col("n").cast("long")).alias("shingles")).where("size > 1")
         sized = materialise(sized, "buckets")
+        read.append(sized)
         done = sized if level == DEPTH - 1 else sized.where(F.col("size") <= SMALL)
         # buckets with the same members are one
-        done = done.groupBy("size", "a", "b").agg(F.min("path").alias("path")).select("path", "size")
-        members = nodes.join(done, "path")
+        halves = F.bit_or(F.when(F.col("path").bitwiseAND(F.lit(1)) == 0, 1).otherwise(2).cast("long"))
+        done = done.groupBy("size", "a", "b").agg(F.min("path").alias("path"), F.min("shingles").alias("shingles"), halves.alias("halves"))
+        told = F.lit(turn << 56).bitwiseOR(F.shiftleft(F.shiftrightunsigned("path", 10), 2)).bitwiseOR(F.col("halves"))
+        blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+        members = nodes.join(done.select("path", told.alias("told"), "size", F.least(blocks, F.col("size").cast("int")).alias("blocks")), "path").select(F.col("told").alias("path"), "id", "size", "blocks")
         final = members if final is None else final.unionByName(members)
         if level == DEPTH - 1:
             break
         large = sized.where(F.col("size") > SMALL).select("path")
-        if large.isEmpty():
+        n = large.count()
+        if not n:
             break
-        # a class goes on in one row, with the leaves below its large buckets; it has at most a few per run
-        hot = nodes.join(large, "path", "left_semi").groupBy("id").agg(F.collect_set("path").alias("hot"))
-        below = F.transform(F.filter(leaf, lambda i: F.array_contains("hot", F.get("leaves", i * DEPTH + level))), lambda i: F.slice("leaves", i * DEPTH + 1, F.lit(DEPTH)))
-        live = materialise(live.join(hot, "id").select("id", F.flatten(below).alias("leaves")), "live")
-    return final
-
-
-def _row_key() -> list[Column]:
-    """r1 and r2: a row's doc_id and text in 128 bits; nulls are told from values."""
-    own = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
-    return [F.xxhash64(F.lit(k), *own).alias(f"r{k}") for k in (1, 2)]
+        if n <= BROADCAST_IDS:
+            own = live.mapInArrow(_below(np.array(sorted(r.path for r in large.collect()), dtype=np.int64), level), _LEAVES)
+        else:
+            # a class goes on in one row, with the leaves below its large buckets; it has at most a few per run
+            hot = nodes.join(large, "path", "left_semi").groupBy("id").agg(F.collect_set("path").alias("hot"))
+            below = F.transform(F.filter(leaf, lambda i: F.array_contains("hot", F.get("leaves", i * DEPTH + level))), lambda i: F.slice("leaves", i * DEPTH + 1, F.lit(DEPTH)))  # noqa: B023
+            own = live.join(hot, "id").select("id", "n", F.flatten(below).alias("leaves"))
+        live = materialise(own, "live")
+        read.append(live)
+    return final, read
+
+
+def _links(docs: DataFrame, heads: DataFrame, copies: DataFrame, threshold: float, runs: int) -> DataFrame:
+    """_FOUND of the classes (heads), over as many turns of runs as the target takes."""
+    spark, turn, found, owned = docs.sparkSession, 0, None, None
+    by_group = lambda df: df.repartition(partitions(spark), "path", "i", "j").sortWithinPartitions("path", "i", "j")
+    while True:
+        members, read = _buckets(heads, turn, runs if turn == 0 else max(2, runs // 2), threshold)
+        block = F.pmod(F.xxhash64("id", "path"), F.col("blocks")).cast("int")
+        blocked = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        keyed = blocked.select("path", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        met = by_group(keyed.join(heads.select("id", "sketch"), "id"))
+        alike = materialise(met.mapInArrow(_partnered(least_agreement(threshold)), _ALIKE), "alike")
+        for df in read:
+            discard(df)
+        paths = alike.select("id", "path")
+        owned = paths if owned is None else owned.unionByName(paths)
+        own = owned.groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("own"))  # at most a few per run
+        own = materialise(own.join(heads.select("id", "r1", "r2"), "id"), "own")
+        wanted = own.select(F.col("r1").alias("w"))
+        wanted = F.broadcast(wanted) if own.count() <= BROADCAST_IDS else wanted
+        shingles = docs.join(wanted, docs.r1 == F.col("w"), "left_semi").select("r1", "r2", "text").mapInArrow(_hash_texts, _TEXTS).dropDuplicates(["r1", "r2"])
+        rows = alike.join(shingles.join(own, ["r1", "r2"]).join(copies, "id"), "id").select("path", "i", "j", "id", "block", "copies", "own", "shingles")
+        new = materialise(by_group(rows).mapInArrow(_verify(threshold), _FOUND), "links")
+        found = new if found is None else found.unionByName(new)
+        seen = new.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("first", "second", "both")]).first()
+        if turn == 0:
+            # of the links that one half finds, the other misses as large a share as of all; few links tell little
+            half = before = (seen.first + seen.second - 2 * seen.both + 0.05) / (seen.first + seen.second + 10)
+            weak = seen.first + seen.second - seen.both
+        else:
+            more = seen.first + seen.second - seen.both
+            weak += more
+            before = (more + 0.05) / (weak + 10)  # what the turns before have missed
+        if half * max(before, half ** (turn + 1)) <= 1 - TARGET:
+            return found
+        turn += 1
 
 
 def _rows(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
     """Per row of docs: id, r1 and r2, any (it has words) and, if so, of its class number, copies, least, with_null and links,
     of its group first (least id, null if all are), group_null, and of the row that stays for the group s1 and s2."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").alias("id"), *_row_key(), "text")
-    sets = materialise(docs.mapInArrow(_sketch(runs, threshold), _SETS), "sets")
+    docs = docs.select(F.col("doc_id").alias("id"), *[c.alias(n) for c, n in zip(row_key(), ("r1", "r2"), strict=True)], "text")
+    sets = materialise(docs.mapInArrow(_sketch, _SETS), "sets")
     classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max(F.col("id").isNull()).alias("with_null"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
-    # a row of the class's least document has the paths that all of the class have
-    heads = sets.join(classes, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("least"))).select(F.col("number").alias("id"), "r1", "r2", "leaves", "sketch").dropDuplicates(["id"])
+    # a row of the class's least document has the tokens that all of the class have
+    heads = sets.join(classes, ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("least"))).select(F.col("number").alias("id"), "r1", "r2", "n", "tokens", "sketch").dropDuplicates(["id"])
     heads = materialise(heads, "heads")
-    members = _buckets(heads.select("id", "leaves"))
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("id", "path"), count).cast("int")
-    blocked = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    keyed = blocked.select("path", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    by_group = lambda df: df.repartition(partitions(spark), "path", "i", "j").sortWithinPartitions("path", "i", "j")
-    met = by_group(keyed.join(heads.select("id", "sketch"), "id"))
-    alike = materialise(met.mapInArrow(_partnered(least_agreement(threshold)), _ALIKE), "alike")
-    own = alike.groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("own"))  # at most a few per run
-    own = materialise(own.join(heads.select("id", "r1", "r2"), "id"), "own")
-    n = own.count()
-    wanted = own.select(F.col("r1").alias("w"))
-    wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
-    shingles = docs.join(wanted, docs.r1 == F.col("w"), "left_semi").select("r1", "r2", "text").mapInArrow(_hash_texts, _TEXTS).dropDuplicates(["r1", "r2"])
-    copies = classes.select(F.col("number").alias("id"), "copies")
-    rows = alike.join(shingles.join(own, ["r1", "r2"]).join(copies, "id"), "id").select("path", "i", "j", "id", "block", "copies", "own", "shingles")
-    found = by_group(rows).mapInArrow(_verify(threshold), "id long, links long, root long")
-    found = materialise(found, "links")
+    found = _links(docs, heads, classes.select(F.col("number").alias("id"), "copies"), threshold, runs)
     links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "number")
     labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "number")
     known = classes.join(links, "number", "left").join(labels, "number", "left").withColumn("label", F.coalesce("label", "number"))
@@ -306,7 +364,7 @@ def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, runs: int
     stays = (F.col("r1") == F.col("s1")) & (F.col("r2") == F.col("s2"))
     marks = rows.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays")).where("n > 1 or not stays").select("r1", "r2", "stays")
     marks = materialise(marks, "marks").withColumnsRenamed({"r1": "__r1", "r2": "__r2", "stays": "__stays"})
-    keyed = docs.withColumns(dict(zip(("__k1", "__k2"), _row_key(), strict=True)))
+    keyed = docs.withColumns(dict(zip(("__k1", "__k2"), row_key(), strict=True)))
     same = (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2"))
     once = keyed.join(marks, same, "left_anti").select(*docs.columns)
     again = marks.where("__stays")

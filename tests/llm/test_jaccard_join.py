@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+import quillon.llm.jaccard_join as j
 from quillon.llm.common import shingle_hashes
 from quillon.llm.components import components
 from quillon.llm.jaccard_join import distinct_documents, similar_documents
@@ -60,8 +62,6 @@ def test_as_brute_force(spark):
 
 
 def test_blocks(spark, monkeypatch):
-    import quillon.llm.jaccard_join as j
-
     monkeypatch.setattr(j, "SMALL", 8)
     monkeypatch.setattr(j, "BLOCK", 16)
     rows = fixture(6, 70)
@@ -106,3 +106,67 @@ def test_null_and_repeated_ids(spark):
 
 def got_links(df):
     return [(i, n) for i, _, n in got(df)]
+
+
+def hot_group(copies, seed=8):
+    rnd = random.Random(seed)
+    base = [f"b{rnd.randrange(10**6)}" for _ in range(200)]
+    out = []
+    for k in range(copies):
+        new = list(base)
+        for _ in range(rnd.randrange(0, 6)):
+            new[rnd.randrange(len(new))] = f"e{k}x{rnd.randrange(10**6)}"
+        out.append(" ".join(new))
+    return out
+
+
+def linked(texts, t=0.8):
+    """Matrix of the links of all pairs, by the shingles that more than one text has."""
+    sets = [shingle_hashes(x) for x in texts]
+    size = np.array([len(s) for s in sets], dtype=np.float32)
+    known, of, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = np.zeros((len(sets), len(known)), dtype=np.float32)
+    own[np.repeat(np.arange(len(sets)), size.astype(int)), of] = 1
+    own = own[:, n > 1]
+    both = own @ own.T
+    out = both >= t * (size[:, None] + size[None, :] - both) - 1e-4
+    np.fill_diagonal(out, False)
+    return out
+
+
+def test_recall_in_a_hot_group(spark):
+    texts = hot_group(3000)
+    want = linked(texts).sum(axis=1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
+    found = {r.doc_id: r.n_links for r in similar_documents(df).collect()}
+    got = np.array([found[i] for i in range(len(texts))])
+    print("links", got.sum(), "of", want.sum())
+    assert (got <= want).all() and got.sum() >= 0.999 * want.sum() > 10**6
+
+
+def test_more_runs_follow_until_the_target(spark, monkeypatch):
+    """Two runs miss many links; the estimate sees it, and later turns find them and count none twice."""
+    texts = hot_group(150, 9) + [" ".join(hot_group(1, 20 + k)[0].split()[:199] + [f"t{j}"]) for k in range(30) for j in range(2)]
+    want, turns = linked(texts).sum(axis=1), []
+    real = j._buckets
+    monkeypatch.setattr(j, "_buckets", lambda heads, turn, *a: (turns.append(turn), real(heads, turn, *a))[1])
+    monkeypatch.setattr(j, "SMALL", 16)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.n_links for r in similar_documents(df, runs=2).collect()}
+    got = np.array([found[i] for i in range(len(texts))])
+    assert len(turns) > 2 and (got <= want).all() and got.sum() >= 0.98 * want.sum()
+
+
+def test_large_paths_by_a_join(spark, monkeypatch):
+    """Beyond the broadcast's bound the recursion goes by a join, with the same links."""
+    monkeypatch.setattr(j, "SMALL", 8)
+    monkeypatch.setattr(j, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(j, "BLOCK_SHINGLES", 3000)
+    rows = fixture(6, 70)
+    assert got(similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_very_long_texts(spark):
+    words = [f"w{k % 70_001}x{k % 31}" for k in range(600_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, " ".join(words[::-1])), (4, "short text")]
+    assert got(similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
