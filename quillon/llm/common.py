@@ -150,7 +150,3 @@ def batched(ddl: str, rows) -> Iterator[pa.RecordBatch]:
             part = []
     if part:
         yield record_batch(schema, *map(list, zip(*part, strict=True)))
-
-
-def crc_mod(c, by: int):
-    return F.crc32(c.cast("string").cast("binary")) % by

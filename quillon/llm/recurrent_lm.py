@@ -2,21 +2,25 @@
 
 Scan tasks cut the texts into words, a chunk of documents at a time, and deal a chunk's distinct
 words into hash buckets; a bucket sums their counts over all training documents and sends them back
-to the chunks, which become codes of two bytes a token. The HEAD most frequent words have a code
-each, any other word that of its tail class: its count's bin and its last letter.
+to the chunks, which become codes of a few bytes a token. The most frequent words (head) have a code
+each, HEAD_RATE times the square root of the number of types of them, so the network's vocabulary grows
+with the corpus; any other word has that of its tail class: its count's bin and its last letter.
 
 The output is factored: a softmax over classes, then one over the words of a head class; in a tail
 class words share by their counts, and unseen words have the share that Good and Turing give them.
 With no context the model is the unigram model, so what training adds is context.
 
-Training covers every training document once, in ROUNDS parts: each task runs truncated
-backpropagation over its documents from the round's parameters, and the results are averaged by
-tokens in Spark. The driver holds one model (about 200 KB), HEAD words and sums per tail class.
+Training covers every training document once, in ROUNDS parts. A part's documents are dealt by hash
+into shards of about SHARD_TOKENS tokens, whatever files and tasks they come from, and sorted in
+them; each shard runs truncated backpropagation from the round's parameters, and the results are averaged by
+tokens in Spark. So the scores don't depend on the layout of the files. The driver holds one model,
+the head words and sums per tail class.
 A word is told by 52 bits of its hash, its bucket and its last letter.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -27,23 +31,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import U64, arrow_schema, hash_words, materialise, mix, partitions, record_batch
+from quillon.llm.common import U64, arrow_schema, discard, hash_words, materialise, mix, partitions, record_batch
 
-HEAD, CLASS_WORDS, LETTERS = 1024, 32, 16
+#: Head words by the square root of the types, head words at least, and letters of tail classes.
+HEAD_RATE, LEAST_HEAD, LETTERS = 4, 256, 16
 #: Least counts of the bins of tail words; the first bin holds unseen words too.
 BINS = (0, 2, 8)
 EMBED, HIDDEN = 16, 24
-#: Truncated backpropagation: steps of a window, documents side by side, parts of the training documents.
-STEPS, LANES, ROUNDS = 32, 128, 3
+#: Truncated backpropagation: steps of a window, documents side by side, parts of the training documents, tokens of a shard of a part.
+STEPS, LANES, ROUNDS, SHARD_TOKENS = 32, 128, 3, 300_000
 RATE, CLIP = 0.01, 1.0
 #: Tokens of an update at least, and the share of the past in the running mean of parameters that a task returns.
 UPDATE_TOKENS, MEAN = 2048, 0.95
 #: Characters of a chunk of documents and tokens that are trained or scored side by side.
 CHUNK_CHARS, CHUNK_TOKENS = 6_000_000, 600_000
-HEAD_CLASSES, TAIL_CLASSES = HEAD // CLASS_WORDS, len(BINS) * LETTERS
-CLASSES, CODES = HEAD_CLASSES + TAIL_CLASSES, HEAD + TAIL_CLASSES
+#: Characters of the corpus for each hash bucket of words.
+BUCKET_CHARS = 10_000_000
+TAIL_CLASSES = len(BINS) * LETTERS
 _END = 0x454E44454E44454E
-_SHAPES = {"embed": (CODES, EMBED), "wx": (EMBED, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (HEAD_CLASSES, HIDDEN, CLASS_WORDS), "bw": (HEAD_CLASSES, CLASS_WORDS)}
 _CHUNKS = "chunk long, bucket int, hashes binary, counts binary, ids array<long>, sizes binary, words binary, letters binary"
 _BACK = "chunk long, bucket int, counts binary, cut long, tags binary, top_hash array<long>, top_n array<long>, sums array<double>"
 _CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, tail_score double, codes binary"
@@ -61,6 +66,29 @@ def _unsqueeze(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind) if len(raw) else np.zeros(0, kind)
 
 
+def head_size(types: int) -> int:
+    """Words of the head, a power of four, so that classes are as many as their words."""
+    return max(LEAST_HEAD, 4 ** round(math.log(max(1, HEAD_RATE * math.sqrt(types)), 4)))
+
+
+class Sizes:
+    """Sizes of the network for a head of so many words."""
+
+    def __init__(self, head: int):
+        self.head, self.class_words = head, math.isqrt(head)
+        self.head_classes = head // self.class_words
+        self.classes, self.codes = self.head_classes + TAIL_CLASSES, head + TAIL_CLASSES
+        self.kind = np.uint16 if self.codes <= 1 << 15 else np.int32
+        self.shapes = {"embed": (self.codes, EMBED), "wx": (EMBED, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "wc": (HIDDEN, self.classes), "bc": (self.classes,), "ww": (self.head_classes, HIDDEN, self.class_words), "bw": (self.head_classes, self.class_words)}
+
+    def flat(self, p) -> np.ndarray:
+        return np.concatenate([p[k].ravel() for k in self.shapes])
+
+    def unflat(self, v: np.ndarray) -> dict[str, np.ndarray]:
+        at = np.cumsum([0, *(int(np.prod(s)) for s in self.shapes.values())])
+        return {k: v[a:b].reshape(s).astype(np.float32) for (k, s), a, b in zip(self.shapes.items(), at[:-1], at[1:], strict=True)}
+
+
 def is_held_out(doc_id: int | None) -> bool:
     """Every tenth id by crc32; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
@@ -121,7 +149,7 @@ def _sums(c: np.ndarray, letter: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(cls, c, TAIL_CLASSES), np.bincount(cls[seen], minlength=TAIL_CLASSES), np.bincount(letter[c == 1], minlength=LETTERS), np.bincount(letter[c == 2], minlength=LETTERS)])
 
 
-def _count(group: pa.Table) -> pa.Table:
+def _count(group: pa.Table, buckets: int) -> pa.Table:
     """The counts of a bucket's words over all chunks, for each chunk, and the bucket's top words and sums."""
     chunks, hashes, counts = (group.column(c).to_pylist() for c in ("chunk", "hashes", "counts"))
     bucket = group.column("bucket")[0].as_py()
@@ -132,7 +160,8 @@ def _count(group: pa.Table) -> pa.Table:
     word, which = np.unique(h.view(U64).ravel(), return_inverse=True)
     n = np.concatenate([_unsqueeze(x, np.uint32) for x in counts])
     total = np.bincount(which, n, len(word)).astype(np.int64)
-    top = np.lexsort((word, -total))[:HEAD]
+    # four times a bucket's share of the head, for as many types as its words stand for
+    top = np.lexsort((word, -total))[: 4 * head_size(buckets * len(word)) // buckets + 64]
     cut = max(1, int(total[top[-1]]))
     ends = np.cumsum(sizes)
     rows = [(-1, bucket, None, None, None, word[top].astype(np.int64), total[top], _sums(total, (word % U64(LETTERS)).astype(np.int64)))]
@@ -148,6 +177,8 @@ class Vocabulary:
 
     def __init__(self, head: list[tuple[int, int]], sums: np.ndarray):
         """head: (hash, count) from the most frequent on; sums: see _sums, over all words."""
+        self.sizes = Sizes(head_size(int(round(sums[TAIL_CLASSES : 2 * TAIL_CLASSES].sum()))))
+        head = head[: self.sizes.head]
         self.hash, self.n = (np.array([x[k] for x in head], dtype=np.int64) for k in (0, 1))
         self.tokens = int(round(sums[:TAIL_CLASSES].sum()))
         self.types = int(round(sums[TAIL_CLASSES : 2 * TAIL_CLASSES].sum()))
@@ -163,38 +194,39 @@ class Vocabulary:
 
     def codes(self, c: np.ndarray, letter: np.ndarray, tag: np.ndarray, tagged: np.ndarray) -> np.ndarray:
         """Codes of words with counts c, last letters, and tags where tagged."""
-        out = HEAD + _bin(c) * LETTERS + letter
+        out = self.sizes.head + _bin(c) * LETTERS + letter
         if len(self.keys) and tagged.any():
             key = self._key(tag, c[tagged])
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             out[tagged] = np.where(self.keys[at] == key, self.order[at], out[tagged])
-        return out.astype(np.uint16)
+        return out.astype(self.sizes.kind)
 
     def within(self, c: np.ndarray, code: np.ndarray) -> np.ndarray:
         """log10 of the share of a word in its tail class; 0 for head words."""
-        cls = np.maximum(code.astype(np.int64) - HEAD, 0)
+        head = self.sizes.head
+        cls = np.maximum(code.astype(np.int64) - head, 0)
         letter = cls % LETTERS
         once = np.where(self.once > 0, np.maximum(2 * self.twice, 0.1 * self.once), 0)
         unseen = np.maximum(self.once, 0.5)
         low = np.where(c > 0, once[letter] / np.maximum(self.once[letter], 1), unseen[letter]) / (once + unseen)[letter]
         share = np.where(cls < LETTERS, low, c / np.maximum(self.mass[cls], 1))
-        return np.where(code >= HEAD, np.log10(np.maximum(share, 1e-300)), 0.0)
+        return np.where(code >= head, np.log10(np.maximum(share, 1e-300)), 0.0)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
     def start(self, seed: int = 7) -> dict[str, np.ndarray]:
         """Parameters that give the unigram model: small random weights, no effect of the state, biases by counts."""
-        rng = np.random.default_rng(seed)
-        p = {k: np.zeros(s, dtype=np.float32) for k, s in _SHAPES.items()}
+        rng, z = np.random.default_rng(seed), self.sizes
+        p = {k: np.zeros(s, dtype=np.float32) for k, s in z.shapes.items()}
         for k in ("embed", "wx", "wh"):
-            p[k] = (rng.standard_normal(_SHAPES[k]) * (0.5 if k == "embed" else 0.25)).astype(np.float32)
-        n = np.zeros(HEAD)
+            p[k] = (rng.standard_normal(z.shapes[k]) * (0.5 if k == "embed" else 0.25)).astype(np.float32)
+        n = np.zeros(z.head)
         n[: len(self.n)] = self.n
-        n = n.reshape(HEAD_CLASSES, CLASS_WORDS)
+        n = n.reshape(z.head_classes, z.class_words)
         p["bw"] = np.where(n > 0, np.log(np.maximum(n, 1)), -30).astype(np.float32)
         mass = np.concatenate([n.sum(axis=1), self.mass])
-        mass[HEAD_CLASSES : HEAD_CLASSES + LETTERS] += 0.5
+        mass[z.head_classes : z.head_classes + LETTERS] += 0.5
         p["bc"] = np.where(mass > 0, np.log(np.maximum(mass, 0.5)), -30).astype(np.float32)
         return p
 
@@ -236,8 +268,9 @@ def _softmax(x: np.ndarray, target: np.ndarray, learn: bool):
 
 def _output(p, h: np.ndarray, code: np.ndarray, grad=None):
     """Log-likelihoods of the codes after states h; with grad, adds to it and returns the gradient of h too."""
-    head = code < HEAD
-    cls = np.where(head, code // CLASS_WORDS, HEAD_CLASSES + code - HEAD)
+    classes, width = p["bw"].shape
+    head = code < classes * width
+    cls = np.where(head, code // width, classes + code - classes * width)
     x = h @ p["wc"] + p["bc"]
     ll = _softmax(x, cls, grad is not None)
     dh = None
@@ -247,12 +280,12 @@ def _output(p, h: np.ndarray, code: np.ndarray, grad=None):
         dh = x @ p["wc"].T
     at = np.flatnonzero(head)
     at = at[np.argsort(cls[at], kind="stable")]
-    ends = np.searchsorted(cls[at], np.arange(HEAD_CLASSES + 1))
+    ends = np.searchsorted(cls[at], np.arange(classes + 1))
     for k in np.flatnonzero(np.diff(ends)):
         i = at[ends[k] : ends[k + 1]]
         hi = h[i]
         x = hi @ p["ww"][k] + p["bw"][k]
-        ll[i] += _softmax(x, code[i] % CLASS_WORDS, grad is not None)
+        ll[i] += _softmax(x, code[i] % width, grad is not None)
         if grad is not None:
             grad["ww"][k] += hi.T @ x
             grad["bw"][k] += x.sum(axis=0)
@@ -288,7 +321,7 @@ def _window(p, code: np.ndarray, before: np.ndarray, live: np.ndarray, h: np.nda
     mask = np.arange(steps)[:, None] < live[None, :]
     at = np.flatnonzero(mask.ravel())
     flat = states.reshape(-1, d)[at]
-    grad = {k: np.zeros(s, dtype=np.float32) for k, s in _SHAPES.items()} if learn else None
+    grad = {k: np.zeros(v.shape, dtype=np.float32) for k, v in p.items()} if learn else None
     got, dflat = _output(p, flat, code.ravel()[at].astype(np.int64), grad)
     ll = np.zeros(steps * lanes, dtype=np.float32)
     ll[at] = got
@@ -346,37 +379,43 @@ def _run(p, docs: list[np.ndarray], learn=None) -> np.ndarray:
     """Log-likelihood of each document's codes; learn(grad, tokens) is called for each window."""
     where, fill = _lanes(docs, LANES)
     longest = int(fill[0])
-    steps = -(-longest // STEPS) * STEPS
-    code = np.zeros((steps, len(where)), dtype=np.int16)
-    before = np.zeros((steps, len(where)), dtype=np.int16)
-    doc = np.zeros((steps, len(where)), dtype=np.int32)
-    for k, own in enumerate(where):
-        x = np.concatenate([docs[i] for i in own]).astype(np.int16)
-        code[: len(x), k] = x
-        before[1 : len(x), k] = x[:-1]
-        sizes = [len(docs[i]) for i in own]
-        before[np.cumsum([0, *sizes[:-1]]), k] = -1
-        doc[: len(x), k] = np.repeat(own, sizes)
+    # each lane's codes one after the other; a window's arrays are cut from them, so a long text fills no other lane
+    lanes = [np.concatenate([docs[i] for i in own]).astype(np.int32) for own in where]
+    starts = [np.cumsum([0, *(len(docs[i]) for i in own[:-1])]) for own in where]
     out = np.zeros(len(docs))
     state = np.zeros((len(where), HIDDEN), dtype=np.float32)
     for a in range(0, longest, STEPS):
         n = int(np.searchsorted(-fill, -a, side="left"))  # lanes that go on
         live = np.minimum(fill[:n] - a, STEPS)
         m = int(live.max())
-        ll, state, grad = _window(p, code[a : a + m, :n], before[a : a + m, :n], live, state[:n], learn is not None)
-        if learn is None:
-            out += np.bincount(doc[a : a + m, :n].ravel(), ll.ravel(), len(docs))
-        else:
+        code, before = np.zeros((m, n), dtype=np.int32), np.zeros((m, n), dtype=np.int32)
+        for k in range(n):
+            own = lanes[k][a : a + m]
+            code[: len(own), k] = own
+            before[1 : len(own), k] = own[:-1]
+            before[0, k] = lanes[k][a - 1] if a else -1
+            i, j = np.searchsorted(starts[k], [a, a + len(own)])
+            before[starts[k][i:j] - a, k] = -1
+        ll, state, grad = _window(p, code, before, live, state[:n], learn is not None)
+        if learn is not None:
             learn(grad, int(live.sum()))
+            continue
+        for k in range(n):
+            # sums from each document's start, or the window's
+            i, j = np.searchsorted(starts[k], [a, a + live[k]])
+            at = starts[k][i:j] - a
+            first = i - 1 if not len(at) or at[0] else i
+            cuts = at if len(at) and not at[0] else np.concatenate([[0], at])
+            np.add.at(out, where[k][first:j], np.add.reduceat(ll[: live[k], k].astype(np.float64), cuts))
     return out
 
 
-def _gathered(batches, *columns):
+def _gathered(batches, kind, *columns):
     """Lists of rows of about CHUNK_TOKENS tokens: the columns, and codes as arrays."""
     rows, size = [], 0
     for b in batches:
         for r in zip(*(b.column(c).to_pylist() for c in (*columns, "codes")), strict=True):
-            rows.append((*r[:-1], np.frombuffer(r[-1], np.uint16)))
+            rows.append((*r[:-1], np.frombuffer(r[-1], kind)))
             size += len(rows[-1][-1])
             if size >= CHUNK_TOKENS:
                 yield list(zip(*rows, strict=True))
@@ -385,25 +424,16 @@ def _gathered(batches, *columns):
         yield list(zip(*rows, strict=True))
 
 
-def _flat(p) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in _SHAPES])
-
-
-def _unflat(v: np.ndarray) -> dict[str, np.ndarray]:
-    at = np.cumsum([0, *(int(np.prod(s)) for s in _SHAPES.values())])
-    return {k: v[a:b].reshape(s).astype(np.float32) for (k, s), a, b in zip(_SHAPES.items(), at[:-1], at[1:], strict=True)}
-
-
-_PART = "block int, part int, weight double, vals binary"
+_PART = "block int, part int, weight double, shard int, vals binary"
 _BLOCK = 1024
 
 
-def _trainer(flat: np.ndarray, rate: float):
-    schema = arrow_schema(_PART)
+def _trainer(flat: np.ndarray, rate: float, sizes: Sizes):
+    """What a shard's documents make of the parameters, in blocks."""
 
-    def train(batches):
+    def train(group: pa.Table) -> pa.Table:
         v, mean, m, s = flat.copy(), flat.copy(), np.zeros_like(flat), np.zeros_like(flat)
-        p, held = _unflat(v), np.zeros_like(flat)
+        p, held = sizes.unflat(v), np.zeros_like(flat)
         steps = tokens = waiting = 0
 
         def update():
@@ -414,38 +444,51 @@ def _trainer(flat: np.ndarray, rate: float):
             m[:], s[:] = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
             v = v - rate * (m / (1 - 0.9**steps)) / (np.sqrt(s / (1 - 0.99**steps)) + 1e-6)
             mean = MEAN * mean + (1 - MEAN) * v
-            p.update(_unflat(v))
+            p.update(sizes.unflat(v))
 
         def learn(grad, n):
             nonlocal waiting
-            held[:] += _flat(grad)
+            held[:] += sizes.flat(grad)
             waiting += n
             if waiting >= UPDATE_TOKENS:
                 update()
 
-        for (docs,) in _gathered(batches):
+        # the same order whatever tasks the rows come from
+        ids, codes = group.column("doc_id").to_pylist(), group.column("codes").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, codes[i]))
+        docs, size = [], 0
+        for i in order:
+            docs.append(np.frombuffer(codes[i], sizes.kind))
+            size += len(docs[-1])
+            if size >= CHUNK_TOKENS:
+                _run(p, docs, learn)
+                docs, size = [], 0
+        if docs:
             _run(p, docs, learn)
         if waiting:
             update()
-        if tokens:
-            cuts = range(0, len(mean), _BLOCK)
-            yield record_batch(schema, [i // _BLOCK for i in cuts], [TaskContext.get().partitionId() % 64] * len(cuts), [float(tokens)] * len(cuts), [mean[i : i + _BLOCK].astype(np.float32).tobytes() for i in cuts])
+        cuts, part = range(0, len(mean), _BLOCK), group.column("shard")[0].as_py() % 64
+        return pa.Table.from_batches([record_batch(arrow_schema(_PART), [i // _BLOCK for i in cuts], [part] * len(cuts), [float(tokens)] * len(cuts), [group.column("shard")[0].as_py()] * len(cuts), [mean[i : i + _BLOCK].astype(np.float32).tobytes() for i in cuts])])
 
     return train
 
 
 def _average(group: pa.Table) -> pa.Table:
-    weight = np.array(group.column("weight").to_pylist())
-    total = sum(w * np.frombuffer(x, np.float32).astype(float) for w, x in zip(weight, group.column("vals").to_pylist(), strict=True))
-    mean = (total / weight.sum()).astype(np.float32).tobytes()
-    return pa.Table.from_batches([record_batch(arrow_schema(_PART), [group.column("block")[0].as_py()], [group.column("part")[0].as_py()], [float(weight.sum())], [mean])])
+    rows = sorted(zip(*(group.column(c).to_pylist() for c in ("shard", "weight", "vals")), strict=True))
+    weight = sum(w for _, w, _ in rows)
+    mean = (sum(w * np.frombuffer(x, np.float32).astype(float) for _, w, x in rows) / weight).astype(np.float32).tobytes()
+    return pa.Table.from_batches([record_batch(arrow_schema(_PART), [group.column("block")[0].as_py()], [group.column("part")[0].as_py()], [float(weight)], [rows[0][0]], [mean])])
 
 
 def _fit(coded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    flat = _flat(vocabulary.start())
+    sizes = vocabulary.sizes
+    flat = sizes.flat(vocabulary.start())
     turn = F.pmod(F.xxhash64(F.lit("turn"), "doc_id"), ROUNDS)
+    shards = max(1, round(vocabulary.tokens / ROUNDS / SHARD_TOKENS))
+    # one document is in one shard, whatever its length; copies of a text with ids of their own are spread
+    dealt = coded.where(~F.col("held_out")).select("doc_id", "codes", turn.alias("turn"), F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "codes"), F.lit(shards)).cast("int").alias("shard"))
     for k in range(ROUNDS):
-        part = coded.where(~F.col("held_out") & (turn == k)).select("codes").mapInArrow(_trainer(flat, RATE * 0.5**k), _PART)
+        part = dealt.where(F.col("turn") == k).repartition(shards, "shard").groupBy("shard").applyInArrow(_trainer(flat, RATE * 0.5**k, sizes), _PART)
         mean = part.groupBy("block", "part").applyInArrow(_average, _PART).groupBy("block").applyInArrow(_average, _PART)
         rows = mean.select("block", "vals").collect()  # one model
         if rows:
@@ -453,12 +496,12 @@ def _fit(coded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     return flat
 
 
-def _scorer(flat: np.ndarray):
+def _scorer(flat: np.ndarray, sizes: Sizes):
     schema = arrow_schema("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
     def score(batches):
-        p = _unflat(flat)
-        for *rest, tail, docs in _gathered(batches, "doc_id", "held_out", "n_tokens", "n_known", "base_score", "tail_score"):
+        p = sizes.unflat(flat)
+        for *rest, tail, docs in _gathered(batches, sizes.kind, "doc_id", "held_out", "n_tokens", "n_known", "base_score", "tail_score"):
             yield record_batch(schema, *map(list, rest), np.array(tail) + _run(p, docs) / np.log(10))
 
     return score
@@ -473,19 +516,27 @@ def score_documents(docs: DataFrame) -> DataFrame:
     are ignored.
     """
     spark = docs.sparkSession
-    coded = materialise(docs.select("doc_id", "text").mapInArrow(_coder(partitions(spark)), _CHUNKS), "chunks")
-    back = coded.where("bucket >= 0").select("chunk", "bucket", "hashes", "counts").groupBy("bucket").applyInArrow(_count, _BACK)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(partitions(spark), -(-chars // BUCKET_CHARS))
+
+    def count(group: pa.Table) -> pa.Table:
+        return _count(group, buckets)
+
+    chunks = materialise(docs.select("doc_id", "text").mapInArrow(_coder(buckets), _CHUNKS), "chunks")
+    back = chunks.where("bucket >= 0").select("chunk", "bucket", "hashes", "counts").groupBy("bucket").applyInArrow(count, _BACK)
     back = materialise(back, "counts")
-    tops = back.where("chunk < 0").select(F.explode(F.arrays_zip("top_hash", "top_n")).alias("w")).select("w.*").where("top_n > 0")
-    head = [(r.top_hash, r.top_n) for r in tops.orderBy(F.desc("top_n"), "top_hash").limit(HEAD).collect()]
     sums = back.where("chunk < 0").select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     total = np.zeros(2 * TAIL_CLASSES + 2 * LETTERS)
     for r in sums:
         total[r.i] = r.x
-    vocabulary = Vocabulary(head, total)
+    head = head_size(int(round(total[TAIL_CLASSES : 2 * TAIL_CLASSES].sum())))
+    tops = back.where("chunk < 0").select(F.explode(F.arrays_zip("top_hash", "top_n")).alias("w")).select("w.*").where("top_n > 0")
+    vocabulary = Vocabulary([(r.top_hash, r.top_n) for r in tops.orderBy(F.desc("top_n"), "top_hash").limit(head).collect()], total)
     none = lambda kind: F.lit(None).cast(kind)
-    own = coded.where("bucket < 0").select("chunk", "bucket", none("binary").alias("counts"), none("long").alias("cut"), none("binary").alias("tags"), "ids", "sizes", "words", "letters")
+    own = chunks.where("bucket < 0").select("chunk", "bucket", none("binary").alias("counts"), none("long").alias("cut"), none("binary").alias("tags"), "ids", "sizes", "words", "letters")
     parts = own.unionByName(back.where("chunk >= 0").select("chunk", "bucket", "counts", "cut", "tags"), allowMissingColumns=True)
     coded = materialise(parts.groupBy("chunk").applyInArrow(_encoder(vocabulary), _CODED), "coded")
-    scored = coded.mapInArrow(_scorer(_fit(coded, vocabulary)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    discard(chunks)
+    discard(back)
+    scored = coded.mapInArrow(_scorer(_fit(coded, vocabulary), vocabulary.sizes), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")

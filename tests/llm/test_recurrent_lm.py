@@ -58,15 +58,53 @@ def test_empty_table_and_no_training_rows(spark):
     assert math.isfinite(r.score)
 
 
+def test_training_beats_the_start_on_held_out(spark, monkeypatch):
+    """Context is learned: held-out scores with the trained parameters, against those of the unigram start."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 4000")
+    held = lambda: sum(r.score for r in lm.score_documents(docs).where("held_out").select("score").collect())
+    trained = held()
+    monkeypatch.setattr(lm, "_fit", lambda coded, vocabulary: vocabulary.sizes.flat(vocabulary.start()))
+    untrained = held()
+    print("held-out log10: trained", trained, "start", untrained)
+    assert trained > 0.97 * untrained
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 3000)
+    df = spark.createDataFrame(fixture(), "doc_id long, text string")
+    own = lambda n: np.array([r.score for r in sorted(lm.score_documents(df.repartition(n)).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))])
+    assert np.allclose(own(2), own(9), rtol=1e-4)
+
+
+def test_head_grows_with_the_types():
+    sizes = [lm.head_size(10**k) for k in range(10)]
+    assert sizes == sorted(sizes) and sizes[0] == 256 and sizes[5] >= 1024 and sizes[9] >= 65_536
+
+
+def test_a_long_text_fills_no_other_lane():
+    import tracemalloc
+
+    p, rng = model(), np.random.default_rng(4)
+    docs = [rng.integers(0, Z.codes, n).astype(Z.kind) for n in (40_000, *[20] * 200)]
+    tracemalloc.start()
+    lm._run(p, docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6  # 41 MB if all lanes were as long
+
+
+Z = lm.Sizes(256)
+
+
 def model(seed=1):
     rng = np.random.default_rng(seed)
-    return {k: (rng.standard_normal(s) * 0.3).astype(np.float32) for k, s in lm._SHAPES.items()}
+    return {k: (rng.standard_normal(s) * 0.3).astype(np.float32) for k, s in Z.shapes.items()}
 
 
 def test_probabilities_sum_to_one():
     p = model()
     h = np.random.default_rng(2).standard_normal((1, lm.HIDDEN)).astype(np.float32)
-    ll, _ = lm._output(p, np.repeat(h, lm.CODES, axis=0), np.arange(lm.CODES))
+    ll, _ = lm._output(p, np.repeat(h, Z.codes, axis=0), np.arange(Z.codes))
     assert abs(np.exp(ll.astype(float)).sum() - 1) < 1e-4
 
 
@@ -74,7 +112,7 @@ def test_state_is_carried_across_windows(monkeypatch):
     monkeypatch.setattr(lm, "LANES", 2)
     p = model()
     rng = np.random.default_rng(3)
-    docs = [rng.integers(0, lm.CODES, n).astype(np.uint16) for n in (1, 200, 33, 32, 70)]
+    docs = [rng.integers(0, Z.codes, n).astype(np.uint16) for n in (1, 200, 33, 32, 70)]
     got = lm._run(p, docs)
     sig = lambda x: 1 / (1 + np.exp(-x))
     for doc, one in zip(docs, got, strict=True):
@@ -89,11 +127,11 @@ def test_state_is_carried_across_windows(monkeypatch):
         assert abs(one - total) < 1e-2
 
 
-@pytest.mark.parametrize("name", list(lm._SHAPES))
+@pytest.mark.parametrize("name", list(Z.shapes))
 def test_gradient(name):
     p = {k: v.astype(np.float64) for k, v in model(5).items()}
     rng = np.random.default_rng(6)
-    code = rng.integers(0, lm.CODES, (6, 3))
+    code = rng.integers(0, Z.codes, (6, 3))
     before = np.vstack([np.full((1, 3), -1), code[:-1]])
     before[3, 1] = -1
     live = np.array([6, 6, 4])
