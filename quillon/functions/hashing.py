@@ -55,8 +55,54 @@ def float_hash(c: Column) -> Column:
 
 def fnv1a64(c: Column) -> Column:
     """FNV-1a over the UTF-8 bytes of a string."""
-    data = F.encode(c, "UTF-8")
-    step = lambda h, i: multiply_mod64(h.bitwiseXOR(F.conv(F.hex(F.substring(data, i, 1)), 16, 10).cast("long")), FNV_PRIME)
     start = F.lit(signed(FNV_OFFSET))
-    out = F.when(F.octet_length(c) == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(c), F.lit(1))), start, step))
+
+    def fold(data):
+        step = lambda h, i: multiply_mod64(h.bitwiseXOR(F.conv(F.hex(F.substring(data, i, 1)), 16, 10).cast("long")), FNV_PRIME)
+        return F.aggregate(F.sequence(F.lit(1), F.octet_length(data)), start, step)
+
+    # a lambda variable holds the bytes, else the text would be encoded anew at each of them
+    out = F.when(F.octet_length(c) == 0, start).otherwise(F.element_at(F.transform(F.array(F.encode(c, "UTF-8")), fold), 1))
     return F.when(c.isNull(), F.lit(signed(NULL_HASH))).otherwise(out)
+
+
+def _fnv(values: pd.Series) -> pd.Series:
+    """FNV-1a a byte position at a time over all strings that reach it; the last few long ones byte by byte."""
+    import numpy as np
+
+    data = [v.encode() for v in values]
+    size = np.array([len(v) for v in data], dtype=np.int64)
+    order = np.argsort(-size, kind="stable")
+    flat, at = np.frombuffer(b"".join(data), np.uint8), np.cumsum(size) - size
+    h = np.full(len(data), FNV_OFFSET, dtype=np.uint64)
+    reach, i = len(order), 0
+    while True:
+        while reach and size[order[reach - 1]] <= i:
+            reach -= 1
+        if reach < 4:
+            break
+        own = order[:reach]
+        h[own] = (h[own] ^ flat[at[own] + i].astype(np.uint64)) * np.uint64(FNV_PRIME)
+        i += 1
+    for k in order[:reach]:
+        x = int(h[k])
+        for b in data[k][i:]:
+            x = (x ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+        h[k] = x
+    return pd.Series(h.view(np.int64))
+
+
+def fnv1a64_text(c: Column) -> Column:
+    """fnv1a64 for long texts, in Arrow batches: the fold of fnv1a64 is interpreted, some dozen steps a byte."""
+    return F.when(c.isNull(), F.lit(signed(NULL_HASH))).otherwise(F.pandas_udf(_fnv, "long")(F.coalesce(c, F.lit(""))))
+
+
+def array_hash(c: Column, element=mix64) -> Column:
+    """A fold of the elements' hashes by FNV's multiplier, so order counts; a null array is 0."""
+    step = lambda h, x: multiply_mod64(h.bitwiseXOR(element(x)), FNV_PRIME)
+    return F.coalesce(F.aggregate(c, F.lit(signed(FNV_OFFSET)), step), F.lit(0).cast("long"))
+
+
+def fallback_hash(c: Column) -> Column:
+    """Hash of a type without one of its own (decimals and such), by its text; a null is 0."""
+    return F.when(c.isNull(), F.lit(0).cast("long")).otherwise(fnv1a64(c.cast("string")))

@@ -1,7 +1,7 @@
 """Whole-column aggregates as Columns for DataFrame.agg, and eager forms that return a scalar.
 
 In ``"zero"`` mode a null counts as 0 (false) in min, max, any and all, and an empty or all-null
-sum is 0. Dates and timestamps skip nulls in both modes.
+sum is 0. The eager forms apply it to long and double columns only: all other types skip nulls.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def scalar(df: DataFrame, column: str, how: str, null_mode: str = "zero"):
     c, dtype = df[column], df.schema[column].dataType
     if how in ("any", "all", "null_count"):
         return df.agg({"any": any_true, "all": all_true, "null_count": null_count}[how](c)).first()[0]
-    mode = "sql" if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)) else null_mode
+    mode = null_mode if isinstance(dtype, (T.LongType, T.DoubleType)) else "sql"
     out = df.agg(_SCALARS[how](c, mode)).first()[0]
     if out is None and how != "sum":
         raise ValueError(f"{how} of an empty column")

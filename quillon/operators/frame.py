@@ -5,6 +5,8 @@ Frames are immutable: every method returns a new one.
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,8 @@ from pyspark.sql import types as T
 from quillon.functions.types import type_code
 from quillon.operators.expr import Expression, _name, _quoted, predicate
 
-_SAMPLE, _BUCKETS = 2000, 64
+#: Rows of a key range, about, ranges at most, and sampled keys for each bound between them.
+RANGE_ROWS, MOST_RANGES, SAMPLE_KEYS = 500_000, 4096, 32
 
 
 def _zero(df: DataFrame, field: T.StructField):
@@ -29,28 +32,54 @@ def _zero(df: DataFrame, field: T.StructField):
     return c
 
 
-def positions(df: DataFrame, key: str, alias: str = "__pos") -> tuple[DataFrame, int]:
-    """df with each row's place (from 0) in ascending order of a unique key, and the number of rows.
+def _range_of(c, bounds: list, base: int = 0):
+    """The number of bounds that c reaches, by a balanced tree of comparisons; a null reaches none."""
+    if not bounds:
+        return F.lit(base)
+    mid = len(bounds) // 2
+    return F.when(c >= F.lit(bounds[mid]), _range_of(c, bounds[mid + 1 :], base + mid + 1)).otherwise(_range_of(c, bounds[:mid], base))
+
+
+def ranges(df: DataFrame, key: str) -> DataFrame:
+    """df with __range, which follows the key's order: ranges of about RANGE_ROWS rows, cut at sampled bounds.
 
-    The key's range is cut at sampled bounds into fixed buckets; each bucket is ranked on its own
-    and shifted by the sizes of those before it, so no task sorts the table. The driver sees at
-    most 2,000 sampled keys and 64 counts.
+    So no task sorts the table. The driver sees the sampled keys, SAMPLE_KEYS for each range.
     """
     c = _quoted(key)
-    keys = sorted(r[0] for r in df.select(c.alias("k")).where(F.col("k").isNotNull()).orderBy(F.xxhash64("k"), "k").limit(_SAMPLE).collect())
-    bounds = sorted({keys[i * len(keys) // _BUCKETS] for i in range(1, _BUCKETS)}) if keys else []
-    bucket = F.lit(0)
-    for b in bounds:
-        bucket = bucket + F.when(c >= F.lit(b), 1).otherwise(0)
-    cut = df.withColumn("__bucket", bucket)
-    shift, total = {}, 0
-    for r in sorted(cut.groupBy("__bucket").count().collect()):
-        shift[r[0]], total = total, total + r[1]
-    base = F.lit(0).cast("long")
-    for b, n in shift.items():
-        base = F.when(F.col("__bucket") == b, F.lit(n).cast("long")).otherwise(base)
-    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy(c.asc_nulls_first()))
-    return cut.withColumn(alias, base + rank - 1).drop("__bucket"), total
+    n = min(MOST_RANGES, df.count() // RANGE_ROWS + 1)
+    if n == 1:
+        return df.withColumn("__range", F.lit(0))
+    keys = df.select(c.alias("k")).where(F.col("k").isNotNull())
+    keys = sorted(r[0] for r in keys.orderBy(F.xxhash64("k"), "k").limit(n * SAMPLE_KEYS).collect())
+    bounds = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
+    return df.withColumn("__range", _range_of(c, bounds))
+
+
+def before_ranges(cut: DataFrame, value) -> tuple[list[int], int]:
+    """The sum of an aggregate over the ranges before each, and over all; one number a range reaches the driver."""
+    per = {r[0]: r[1] or 0 for r in cut.groupBy("__range").agg(value).collect()}
+    out, total = [], 0
+    for k in range(max(per, default=0) + 1):
+        out.append(total)
+        total += per.get(k, 0)
+    return out, total
+
+
+def base_of(before: list[int]):
+    """The number of a row's range in a list."""
+    return F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col("__range"))
+
+
+def positions(df: DataFrame, key: str, alias: str = "__pos") -> tuple[DataFrame, int]:
+    """df with each row's place (from 0) in ascending order of a unique key (null first), and the number of rows."""
+    cut = ranges(df, key)
+    before, total = before_ranges(cut, F.count(F.lit(1)))
+    return _ranked(cut, key, before, alias).drop("__range"), total
+
+
+def _ranked(cut: DataFrame, key: str, before: list[int], alias: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(_quoted(key).asc_nulls_first()))
+    return cut.withColumn(alias, base_of(before) + rank - 1)
 
 
 class Frame:
@@ -108,16 +137,20 @@ class Frame:
     def take(self, indices, null_mode: str = "sql", order_key: str | None = None) -> Frame:
         """Rows at the places of indices in order of the key, in index order, repeats allowed.
 
-        IndexError beyond the rows. The list of indices becomes a small local table; Spark
-        broadcasts it only below spark.sql.autoBroadcastJoinThreshold.
+        IndexError beyond the rows. Only the key ranges that hold an index are shuffled and ranked.
+        The list of indices becomes a small local table; Spark broadcasts it only below
+        spark.sql.autoBroadcastJoinThreshold.
         """
         key = order_key or self.order_key
         if key is None:
             raise ValueError("take needs an order key")
         indices = [int(i) for i in (indices if hasattr(indices, "__iter__") else [indices])]
-        placed, total = positions(self.df, key)
+        cut = ranges(self.df, key)
+        before, total = before_ranges(cut, F.count(F.lit(1)))
         if bad := [i for i in indices if not 0 <= i < total]:
             raise IndexError(f"index {bad[0]} of {total} rows")
+        held = sorted({bisect.bisect_right(before, i) - 1 for i in indices})
+        placed = _ranked(cut.where(F.col("__range").isin(held)) if len(held) < len(before) else cut, key, before, "__pos").drop("__range")
         want = self.df.sparkSession.createDataFrame([(i, n) for n, i in enumerate(indices)], "__pos long, __slot long")
         out = placed.join(want, "__pos").orderBy("__slot")
         fields = self.df.schema.fields
@@ -131,9 +164,23 @@ class Frame:
     def __getitem__(self, i: int) -> tuple:
         return tuple(self.take([i]).df.first())
 
+    def element(self, column: str | bytes, i: int):
+        """One value: strings as bytes, dates as days and timestamps as microseconds since the epoch, null as None."""
+        c = _quoted(_name(column))
+        frame = self if self.order_key is None or self.order_key == _name(column) else self.select([self.order_key, column])
+        kind = self.df.schema[_name(column)].dataType
+        raw = {T.StringType: lambda: c.cast("binary"), T.DateType: lambda: F.unix_date(c), T.TimestampType: lambda: F.unix_micros(c), T.TimestampNTZType: lambda: F.unix_micros(c.cast("timestamp"))}
+        out = frame.take([i]).df.select(raw.get(type(kind), lambda: c)()).first()[0]
+        return bytes(out) if isinstance(out, bytearray) else out
+
     def to_arrow(self):
         return self.df.toArrow()
 
+    def column_to_arrow(self, name: str | bytes, binary: bool = False):
+        """One column as an Arrow array; binary: strings as their bytes."""
+        df = self.select(name).df
+        return (df.select(F.col(df.columns[0]).cast("binary").alias(df.columns[0])) if binary else df).toArrow().column(0)
+
     def to_pylist(self, column: str | bytes) -> list:
         return [r[0] for r in self.select(column).df.collect()]
 

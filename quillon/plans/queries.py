@@ -318,3 +318,79 @@ def array_basic(spark, d):
 def frame_shape(spark, d):
     df = table(spark, d, "lineitem")
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(Frame(df).num_columns))
+
+
+@query(f"SELECT event_id, {_signed_sql('h')} AS h FROM (SELECT event_id, {_mix_sql('u')} AS h FROM (SELECT event_id, ((hour(ts) * 3600 + minute(ts) * 60) * 1000000 + microsecond(ts))::ubigint AS u FROM events))")
+def hash_time(spark, d):
+    return table(spark, d, "events").select("event_id", hashing.mix64(temporal.time_micros(F.col("ts"))).alias("h"))
+
+
+_ARRAY_SQL = f"list_reduce(list_prepend({hashing.FNV_OFFSET}::uhugeint, [CASE WHEN x IS NULL THEN {hashing.NULL_HASH}::uhugeint ELSE {_mix_sql('x::ubigint')} END FOR x IN xs]), lambda h, e: (xor(h, e) * {hashing.FNV_PRIME}::uhugeint) % {MOD64})"
+
+
+@query(f"SELECT event_id, CASE WHEN xs IS NULL THEN 0 ELSE {_signed_sql('h')} END AS h FROM (SELECT event_id, xs, {_ARRAY_SQL} AS h FROM (SELECT event_id, CASE WHEN user_id <> 8 THEN [event_id, nullif(user_id, 9), 7] END AS xs FROM events))")
+def hash_array(spark, d):
+    xs = F.when(F.col("user_id") != 8, F.array(F.col("event_id").cast("long"), F.nullif(F.col("user_id").cast("long"), F.lit(9)), F.lit(7).cast("long")))
+    return table(spark, d, "events").select("event_id", hashing.array_hash(xs).alias("h"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN s IS NULL THEN 0 ELSE {_signed_sql('h')} END AS h FROM (SELECT p_partkey, s, {_FNV_SQL} AS h FROM (SELECT p_partkey, nullif(p_size, 8)::decimal(12, 2)::varchar AS s FROM part))")
+def hash_fallback(spark, d):
+    return table(spark, d, "part").select("p_partkey", hashing.fallback_hash(F.nullif("p_size", F.lit(8)).cast("decimal(12,2)")).alias("h"))
+
+
+@query(f"SELECT item_id, {_signed_sql('h')} AS h FROM (SELECT item_id, {_FNV_SQL} AS h FROM (SELECT item_id, text AS s FROM benchmark))")
+def hash_text(spark, d):
+    return table(spark, d, "benchmark").select("item_id", hashing.fnv1a64_text(F.col("text")).alias("h"))
+
+
+@query("SELECT 0::bigint AS entry UNION ALL SELECT sum(strlen(text)) OVER (ORDER BY doc_id)::bigint FROM documents")
+def string_offset_entries(spark, d):
+    return strings.offset_entries(table(spark, d, "documents"), "text", "doc_id", "entry")
+
+
+@query("""SELECT event_id, CASE WHEN user_id <> 8 THEN '{"id": ' || event_id || ',"t": "' || event_type || '","big": ' || CASE WHEN user_id > 50 THEN 'True' ELSE 'False' END || ',"xs": [' || user_id || ', ' || CASE WHEN user_id = 9 THEN 'None' ELSE '7' END || ']}' END AS json FROM events""")
+def struct_json_typed(spark, d):
+    big, xs = (F.col("user_id") > 50).alias("big"), F.array("user_id", F.when(F.col("user_id") != 9, F.lit(7))).alias("xs")
+    s = F.when(F.col("user_id") != 8, F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("t"), big, xs))
+    df = table(spark, d, "events").select("event_id", s.alias("s"))
+    return df.select("event_id", strings.struct_column_json(df, "s").alias("json"))
+
+
+@query(f"WITH placed AS (SELECT vec_id, CASE WHEN vec_id % 3 <> 0 THEN embedding END AS e, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings) SELECT vec_id, len(e)::int AS n, e[2]::double AS second, (SELECT count(*) FROM placed WHERE e IS NULL) AS nulls FROM (SELECT unnest({[i % 200 for i in TAKEN]}) AS pos) JOIN placed USING (pos)")
+def array_take(spark, d):
+    df = table(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).alias("e"))
+    nulls = df.agg(agg.null_count(F.col("e")).alias("nulls"))
+    taken = Frame(df, "vec_id").take([i % 200 for i in TAKEN]).df
+    return taken.crossJoin(F.broadcast(nulls)).select("vec_id", F.when(F.col("e").isNotNull(), F.size("e")).alias("n"), F.get("e", F.lit(1)).cast("double").alias("second"), "nulls")  # nulls is one row
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{o}', {str(v).lower()})" for a, b, o, v in (("bigint", "bigint", "add", True), ("bigint", "double", "add", False), ("string", "string", "equals", True), ("string", "string", "add", False), ("boolean", "boolean", "xor", True), ("bigint", "bigint", "and", False), ("date", "date", "less_than", True))) + ") AS t(l, r, operation, supported)")
+def supported_operations(spark, d):
+    from pyspark.sql import types as T
+
+    from quillon.operators.expr import is_supported
+
+    kinds = {"bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "date": T.DateType()}
+    asked = [("bigint", "bigint", "add"), ("bigint", "double", "add"), ("string", "string", "equals"), ("string", "string", "add"), ("boolean", "boolean", "xor"), ("bigint", "bigint", "and"), ("date", "date", "less_than")]
+    return spark.createDataFrame([(a, b, o, is_supported(kinds[a], kinds[b], o)) for a, b, o in asked], "l string, r string, operation string, supported boolean")
+
+
+@query("SELECT * FROM (VALUES ('n_nationkey', 4), ('n_name', 60), ('n_regionkey', 4)) AS t(name, code)")
+def frame_types(spark, d):
+    frame = Frame(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey")))
+    return spark.createDataFrame(list(zip([n.decode() for n in frame.column_names], frame.column_types, strict=True)), "name string, code int")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def arrow_round_trip(spark, d):
+    from quillon.sources import from_arrow
+
+    return from_arrow(spark, Frame(table(spark, d, "nation")).select(["n_nationkey", "n_name"]).to_arrow()).df
+
+
+@query("WITH placed AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) SELECT pos AS place, o_orderkey, o_orderstatus AS status FROM placed WHERE pos IN (0, 7, 99)")
+def frame_elements(spark, d):
+    frame = Frame(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    rows = [(i, frame[i][0], frame.element("o_orderstatus", i).decode()) for i in (0, 7, 99)]
+    return spark.createDataFrame(rows, "place long, o_orderkey long, status string")

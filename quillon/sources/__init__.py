@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+from quillon.functions.strings import struct_column_json
 from quillon.operators.frame import Frame
 
 
@@ -25,11 +26,11 @@ def from_arrow(spark: SparkSession, table: pa.Table, order_key: str | None = Non
 
 
 def vector_from_arrow(spark: SparkSession, array: pa.Array | pa.ChunkedArray, name: str = "value", to_json: bool = False) -> Frame:
-    """One column. With to_json a struct array becomes JSON text, as in struct_json."""
+    """One column. With to_json a struct array becomes JSON text, as in struct_column_json."""
+    frame = from_arrow(spark, pa.table({name: array}))
     if to_json and pa.types.is_struct(array.type):
-        rows = [None if r is None else "{" + ",".join(f'"{k}": ' + ("null" if v is None else f'"{v}"' if isinstance(v, str) else str(v)) for k, v in r.items()) + "}" for r in array.to_pylist()]
-        array = pa.array(rows, pa.string())
-    return from_arrow(spark, pa.table({name: array}))
+        return Frame(frame.df.select(struct_column_json(frame.df, name).alias(name)))
+    return frame
 
 
 def read(spark: SparkSession, path: str, fmt: str = "parquet", order_key: str | None = None, **options) -> Frame:

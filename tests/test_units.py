@@ -84,6 +84,53 @@ def test_aggregate_edges(spark):
     assert agg.scalar(column(spark, [2**63 - 1, -(2**63)]), "x", "max") == 2**63 - 1
 
 
+def test_fallback_types_skip_nulls(spark):
+    for kind, xs in (("short", [5, None, 7]), ("float", [5.0, None, 7.0]), ("int", [5, None, 7])):
+        assert [agg.scalar(column(spark, xs, kind), "x", how) for how in ("min", "max", "sum")] == [5, 7, 12]
+    text = column(spark, ["b", None, "a"], "string")
+    assert (agg.scalar(text, "x", "min"), agg.scalar(text, "x", "max")) == ("a", "b")
+    import decimal
+
+    money = column(spark, [decimal.Decimal("5.50"), None], "decimal(10,2)")
+    assert agg.scalar(money, "x", "min") == decimal.Decimal("5.50")
+
+
+def test_ranges(spark, monkeypatch):
+    from quillon.operators import frame as f
+
+    monkeypatch.setattr(f, "RANGE_ROWS", 50)
+    xs = [(i * 37) % 1009 for i in range(1009)]
+    df = spark.createDataFrame([(x, "t" * (x % 7)) for x in xs], "k long, t string").repartition(5)
+    assert 15 <= f.ranges(df, "k").select("__range").distinct().count() <= 21
+    placed, total = f.positions(df, "k")
+    assert total == 1009 and all(r.k == r["__pos"] for r in placed.collect())
+    assert values(Frame(df, "k").take([1008, 0, 500, 500]).df.select("k")) == [1008, 0, 500, 500]
+    ends, at = {r.k: r.end_offset for r in strings.offsets(df, "t", "k").collect()}, 0
+    for k in range(1009):
+        at += k % 7
+        assert ends[k] == at
+    entries = sorted(values(strings.offset_entries(df, "t", "k")))
+    assert len(entries) == 1010 and entries[0] == 0 and entries[-1] == at
+
+
+def test_elements_and_columns(spark):
+    frame = Frame(spark.createDataFrame([(1, "é", datetime.date(1970, 1, 3)), (2, None, None)], "k long, t string, d date"), "k")
+    assert [frame.element("t", 0), frame.element("t", 1), frame.element("d", 0), frame.element("d", 1), frame.element("k", 1)] == ["é".encode(), None, 2, None, 2]
+    with pytest.raises(IndexError):
+        frame.element("t", 2)
+    assert frame.column_to_arrow("t").to_pylist() == ["é", None]
+    assert frame.column_to_arrow("t", binary=True).to_pylist() == ["é".encode(), None]
+
+
+def test_text_hashes(spark):
+    words = ["hello", "é", "", None, "x" * 3000, "ab", "abc", "abcd", "y" * 300]
+    df = column(spark, words, "string").coalesce(1)
+    assert values(df.select(hashing.fnv1a64_text(F.col("x")))) == values(df.select(hashing.fnv1a64(F.col("x"))))
+    arrays = spark.createDataFrame([(0, [1, 2]), (1, [2, 1]), (2, []), (3, None), (4, [None])], "i int, x array<long>").coalesce(1)
+    a, b, empty, none, null = values(arrays.select(hashing.array_hash(F.col("x"))))
+    assert len({a, b, empty, none, null}) == 5 and none == 0 and empty == hashing.signed(hashing.FNV_OFFSET)
+
+
 def test_take(spark):
     frame = Frame(column(spark, [1, None, 3, None, 5]), "i")
     assert values(frame.take([0, 1, 3], "zero").df.select("x")) == [1, 0, 0]
@@ -115,6 +162,8 @@ def test_frame(spark):
 def test_arrow_types(spark):
     t = pa.table({"t": pa.array([1, None], pa.time32("s")), "u": pa.array([2**64 - 1, None], pa.uint64()), "l": [[1, None], None]})
     assert [tuple(r) for r in from_arrow(spark, t).df.collect()][0] == (1_000_000, 2**64 - 1, [1, None])
+    odd = pa.array([{"f": True, "l": [1, None], "s": ["a"]}, {"f": None, "l": None, "s": []}, None])
+    assert vector_from_arrow(spark, odd, to_json=True).to_pylist("value") == ['{"f": True,"l": [1, None],"s": [\'a\']}', '{"f": null,"l": null,"s": []}', None]
     structs = pa.array([{"a": 1, "b": "x", "c": None}, None])
     assert vector_from_arrow(spark, structs, to_json=True).to_pylist("value") == ['{"a": 1,"b": "x","c": null}', None]
 
