@@ -26,6 +26,8 @@ from quillon.llm.common import arrow_schema, batched, materialise, new_path, par
 _END = "\r\n\r\n"
 #: Bytes of an archive file, but for a single record that is larger; it is one cell as it is written and read.
 FILE_BYTES = 16 << 20
+#: First captures of payloads that occur again are broadcast up to so many bytes.
+BROADCAST_BYTES = 16 << 20
 #: Captures of a range of the index, about.
 RANGE_ROWS = 50_000
 #: Captures without a time of their own are dated this epoch second plus their page_id, as far as years have four digits.
@@ -109,9 +111,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes:
     first = found.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha1").agg(least.alias("first"), F.count(F.lit(1)).alias("n"))
     # only payloads that occur twice need their first; a null id may repeat one that occurs once beside it
     again = found.where(F.col("page_id").isNull()).select("sha1").distinct().withColumn("null_too", F.lit(True))
-    first = first.join(again, "sha1", "left").where("n > 1 or null_too").select("sha1", "first")
-    # rows of a hot payload are many on one side only, which AQE splits
-    both = found.join(first, "sha1", "left")
+    first = materialise(first.join(again, "sha1", "left").where("n > 1 or null_too").select("sha1", "first"), "first")
+    size = first.agg(F.sum(F.octet_length("first.url") + 100)).first()[0] or 0
+    # beyond the bound payloads are shuffled; rows of a hot one are many on one side only, which AQE splits
+    both = found.join(F.broadcast(first) if size <= BROADCAST_BYTES else first, "sha1", "left")
     revisit = ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
     rows = both.select("page_id", "url", "html", "sha1", "payload_bytes", F.when(revisit, F.col("first.page_id")).alias("first_id"), F.when(revisit, F.col("first.url")).alias("first_url"))
     rows.mapInArrow(_files(file_bytes), "value string").write.option("lineSep", _END).option("maxRecordsPerFile", 1).text(path)
