@@ -14,8 +14,11 @@ of the runs finds, the share that the other half finds too. While the halves tog
 1 - TARGET by that, RUNS / 2 more runs with new seeds follow; they count only what no run before met,
 and how much that is tells what is still missed.
 
-A bucket that is still large after DEPTH splits holds mostly classes alike; it is compared in
-pairs of blocks, bounded by the number of classes and of shingles. A class goes on to the comparison of shingles only with another in its bucket whose
+A bucket that is still large after DEPTH splits holds mostly classes alike. The Jaccard distance is a
+metric, so classes within half the allowed distance of a leader, its core, are all linked: they are
+counted as one number and never meet. The leader is the class that most such buckets have. What isn't
+in a bucket's largest core meets all of it in pairs of blocks, bounded by the number of classes and of
+shingles, so the rows of a bucket grow with its size times the blocks outside that core. A class goes on to the comparison of shingles only with another in its bucket whose
 tokens' low bytes agree with its own in `least_agreement` places; a pair at the threshold falls short
 of that with about 1e-11, wherever it meets. Comparisons return a count per class and a star of edges, never the pairs: a pair
 counts in the first bucket that holds it.
@@ -178,7 +181,8 @@ def _compare(path: int, rows: list[dict], threshold: float):
     size = np.array([len(s) for s in sets], dtype=np.float32)
     both = _shared(sets)
     alike = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-4
-    np.fill_diagonal(alike, False)
+    core = _core_numbers(rows)
+    alike &= core[:, None] != core[None, :]
     block = np.array([r["block"] for r in rows])
     if rows[0]["i"] != rows[0]["j"]:
         alike &= block[:, None] != block[None, :]
@@ -202,7 +206,36 @@ def _compare(path: int, rows: list[dict], threshold: float):
         yield int(ids[k]), int(n), int(ids[root[k]]), *map(int, seen)
 
 
-_ALIKE = "path long, i int, j int, id long, block int"
+_CORES = "id long, core long"
+
+
+def _core_numbers(rows: list[dict]) -> np.ndarray:
+    """The rows' cores; a row without one has a number of its own, as no row is compared with its own core."""
+    return np.array([-1 - k if r["core"] is None else r["core"] for k, r in enumerate(rows)], dtype=np.int64)
+
+
+def _near_leader(threshold: float):
+    """id and core of the classes within half the allowed distance of their leader, which comes first in a group."""
+
+    def run(batches):
+        def near():
+            at = lead = None
+            for b in batches:
+                for r in b.to_pylist():
+                    own = np.frombuffer(r["shingles"], U64)
+                    if (r["core"], r["salt"]) != at:
+                        at, lead = (r["core"], r["salt"]), own  # the leader of these
+                    elif len(own):
+                        both = len(np.intersect1d(lead, own, assume_unique=True))
+                        if both >= (1 + threshold) / 2 * (len(lead) + len(own) - both):
+                            yield r["id"], r["core"]
+
+        yield from batched(_CORES, near())
+
+    return run
+
+
+_ALIKE = "path long, i int, j int, id long, block int, core long"
 
 
 def _partnered(least: int):
@@ -210,17 +243,17 @@ def _partnered(least: int):
 
     def keep(rows: list[dict], crossed: bool):
         sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), TOKENS)
-        block = np.array([r["block"] for r in rows])
+        block, core = np.array([r["block"] for r in rows]), _core_numbers(rows)
         for a in range(0, len(rows), 64):
             agree = (sketch[a : a + 64, None, :] == sketch[None, :, :]).sum(axis=2) >= least
-            agree[np.arange(len(agree)), np.arange(a, a + len(agree))] = False
+            agree &= core[a : a + 64, None] != core[None, :]
             if crossed:
                 agree &= block[a : a + 64, None] != block[None, :]
             yield from (rows[a + k] for k in np.flatnonzero(agree.any(axis=1)))
 
     def run(batches):
         found = (r for (_, i, j), rows in grouped(batches, "path", "i", "j") if len(rows) > 1 for r in keep(rows, i != j))
-        yield from batched(_ALIKE, ((r["path"], r["i"], r["j"], r["id"], r["block"]) for r in found))
+        yield from batched(_ALIKE, ((r["path"], r["i"], r["j"], r["id"], r["block"], r["core"]) for r in found))
 
     return run
 
@@ -275,16 +308,79 @@ def _buckets(heads: DataFrame, turn: int, runs: int, threshold: float) -> tuple[
     return final, read
 
 
+def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """_TEXTS of the rows whose r1 is that of a row in wanted."""
+    few = wanted.count() <= BROADCAST_IDS
+    wanted = wanted.select(F.col("r1").alias("w"))
+    texts = docs.join(F.broadcast(wanted) if few else wanted, docs.r1 == F.col("w"), "left_semi")
+    return texts.select("r1", "r2", "text").mapInArrow(_hash_texts, _TEXTS).dropDuplicates(["r1", "r2"])
+
+
+def _cores(docs: DataFrame, heads: DataFrame, members: DataFrame, threshold: float) -> DataFrame | None:
+    """_CORES of the buckets of more than a block, if there are any: a class is in one core at most, a leader in its own.
+
+    A class is held against one leader: of those of its buckets the one that most buckets have.
+    """
+    hot = materialise(members.where("blocks > 1").select("path", "id"), "hot")
+    if hot.isEmpty():
+        return None
+    rank = hot.groupBy("id").agg(F.struct(F.count(F.lit(1)).alias("n"), F.xxhash64("id").alias("h"), "id").alias("rank"))
+    ranked = hot.join(rank, "id")
+    leads = ranked.groupBy("path").agg(F.max("rank").alias("lead"))
+    held = materialise(ranked.join(leads, "path").groupBy("id").agg(F.max("lead")["id"].alias("core")), "held")
+    groups = held.groupBy("core").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt")
+    rows = held.join(groups, "core").where("id <> core").select("core", salt, F.lit(1).alias("part"), "id")
+    first = groups.select("core", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("part"), F.col("core").alias("id"))
+    wanted = materialise(held.join(heads.select("id", "r1", "r2"), "id").select("id", "r1", "r2"), "wanted")
+    texts = wanted.join(_shingles(docs, wanted), ["r1", "r2"]).select("id", "shingles")
+    spread = rows.unionByName(first).join(texts, "id").repartition(partitions(docs.sparkSession), "core", "salt").sortWithinPartitions("core", "salt", "part")
+    # a leader that another one holds stays with its own
+    near = spread.mapInArrow(_near_leader(threshold), _CORES).join(groups.select(F.col("core").alias("id")), "id", "left_anti")
+    return materialise(near.unionByName(groups.select(F.col("core").alias("id"), "core")), "cores")
+
+
+def _core_links(cores: DataFrame, copies: DataFrame) -> DataFrame:
+    """_FOUND of the links within cores: a class has those of all the others of its own."""
+    own = cores.join(copies, "id")
+    rows = own.join(own.groupBy("core").agg(F.sum("copies").alias("total")), "core")
+    none = [F.lit(0).cast("long").alias(c) for c in ("first", "second", "both")]
+    return rows.select("id", (F.col("total") - F.col("copies")).alias("links"), F.col("core").alias("root"), *none)
+
+
+def _blocked(members: DataFrame, sketches: DataFrame, cores: DataFrame | None) -> DataFrame:
+    """A row for each member of a bucket and pair of blocks that it meets others in: path, i, j, id, block, core and sketch."""
+    keyed = members.join(sketches, "id")
+    hashed, total = F.xxhash64("id", "path"), F.col("blocks")
+    if cores is None:
+        inside, outer, inner = F.lit(False), total, F.lit(0)
+    else:
+        sizes = members.where("blocks > 1").select("path", "id").join(cores, "id").groupBy("path", "core").agg(F.count(F.lit(1)).alias("m"))
+        main = sizes.groupBy("path").agg(F.max(F.struct("m", "core")).alias("main"))
+        keyed = keyed.join(main, "path", "left")
+        inside, m = F.coalesce(F.col("core") == F.col("main")["core"], F.lit(False)), F.coalesce(F.col("main")["m"], F.lit(0))
+        share = lambda n: F.ceil(n * total / F.col("size")).cast("int")
+        outer, inner = share(F.col("size") - m), share(m)
+    keyed = keyed.select("path", "id", "core", "sketch", inside.alias("inside"), outer.alias("outer"), inner.alias("inner"), hashed.alias("h")).where("outer > 0")
+    block = F.when(F.col("inside"), F.col("outer") + F.pmod(F.col("h"), F.greatest("inner", F.lit(1)))).otherwise(F.pmod(F.col("h"), F.col("outer"))).cast("int")
+    last = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    rows = keyed.select("path", "id", "core", "sketch", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return rows.select("path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", "core", "sketch")
+
+
 def _links(docs: DataFrame, heads: DataFrame, copies: DataFrame, threshold: float, runs: int) -> DataFrame:
     """_FOUND of the classes (heads), over as many turns of runs as the target takes."""
-    spark, turn, found, owned = docs.sparkSession, 0, None, None
+    spark, turn, found, owned, cores = docs.sparkSession, 0, None, None, None
+    sketches = heads.select("id", "sketch", F.lit(None).cast("long").alias("core"))
     by_group = lambda df: df.repartition(partitions(spark), "path", "i", "j").sortWithinPartitions("path", "i", "j")
     while True:
         members, read = _buckets(heads, turn, runs if turn == 0 else max(2, runs // 2), threshold)
-        block = F.pmod(F.xxhash64("id", "path"), F.col("blocks")).cast("int")
-        blocked = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        keyed = blocked.select("path", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        met = by_group(keyed.join(heads.select("id", "sketch"), "id"))
+        if turn == 0:
+            cores = _cores(docs, heads, members, threshold)
+            if cores is not None:
+                found = materialise(_core_links(cores, copies), "links")
+                sketches = heads.select("id", "sketch").join(cores, "id", "left")
+        met = by_group(_blocked(members, sketches, cores))
         alike = materialise(met.mapInArrow(_partnered(least_agreement(threshold)), _ALIKE), "alike")
         for df in read:
             discard(df)
@@ -292,10 +388,8 @@ def _links(docs: DataFrame, heads: DataFrame, copies: DataFrame, threshold: floa
         owned = paths if owned is None else owned.unionByName(paths)
         own = owned.groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("own"))  # at most a few per run
         own = materialise(own.join(heads.select("id", "r1", "r2"), "id"), "own")
-        wanted = own.select(F.col("r1").alias("w"))
-        wanted = F.broadcast(wanted) if own.count() <= BROADCAST_IDS else wanted
-        shingles = docs.join(wanted, docs.r1 == F.col("w"), "left_semi").select("r1", "r2", "text").mapInArrow(_hash_texts, _TEXTS).dropDuplicates(["r1", "r2"])
-        rows = alike.join(shingles.join(own, ["r1", "r2"]).join(copies, "id"), "id").select("path", "i", "j", "id", "block", "copies", "own", "shingles")
+        shingles = _shingles(docs, own)
+        rows = alike.join(shingles.join(own, ["r1", "r2"]).join(copies, "id"), "id").select("path", "i", "j", "id", "block", "core", "copies", "own", "shingles")
         new = materialise(by_group(rows).mapInArrow(_verify(threshold), _FOUND), "links")
         found = new if found is None else found.unionByName(new)
         seen = new.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("first", "second", "both")]).first()
