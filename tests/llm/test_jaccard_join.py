@@ -170,3 +170,23 @@ def test_very_long_texts(spark):
     words = [f"w{k % 70_001}x{k % 31}" for k in range(600_000)]
     rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, " ".join(words[::-1])), (4, "short text")]
     assert got(similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
+
+
+def test_cores_are_not_met_in_blocks(spark, monkeypatch):
+    """A group near its leader sends a small part of the rows that all pairs of blocks take, and has the same links."""
+    monkeypatch.setattr(j, "SMALL", 8)
+    monkeypatch.setattr(j, "BLOCK", 16)
+    base, texts = hot_group(1, 30)[0].split(), []
+    texts = [" ".join([*base[:k], f"e{k}", *base[k + 1 :]]) for k in range(200)]
+    real, sent = j._blocked, []
+
+    def spy(members, sketches, cores):
+        if cores is not None and not sent:
+            sent.extend([real(members, sketches, cores).count(), real(members, sketches, None).count()])
+        return real(members, sketches, cores)
+
+    monkeypatch.setattr(j, "_blocked", spy)
+    rows = list(enumerate(texts))
+    assert got(similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    print("rows", sent)
+    assert sent[0] < sent[1] / 3
